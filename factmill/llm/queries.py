@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, packing, token_counts
 from .common import table
 
 QUERIES = {
+    "op3_token_counts": lambda spark, d: token_counts.section_tokens(table(spark, d, "documents")),
+    "op5_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op7_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
+    "op5_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
