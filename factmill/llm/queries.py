@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, packing, token_counts
+from . import decontaminate, line_dedup, near_dedup, packing, token_counts
 from .common import table
 
 QUERIES = {
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup(table(spark, d, "documents")),
+    "op10_near_dedup": lambda spark, d: near_dedup.near_dedup(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
     "op5_decontamination": decontaminate.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op10_near_dedup": near_dedup.SQL,
 }
