@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, packing, token_counts
+from . import decontaminate, line_dedup, near_dedup, packing, pii, quality_rules, token_counts
 from .common import table
 
 QUERIES = {
+    "op1_quality_rules": lambda spark, d: quality_rules.quality_rules(table(spark, d, "documents")),
     "op3_token_counts": lambda spark, d: token_counts.section_tokens(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op8_pii": lambda spark, d: pii.personal_data(table(spark, d, "documents")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup(table(spark, d, "documents")),
     "op10_near_dedup": lambda spark, d: near_dedup.near_dedup(table(spark, d, "documents")),
 }
