@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, packing, pii, quality_rules, token_counts
+from . import decontaminate, language_id, line_dedup, near_dedup, packing, pii, quality_rules, token_counts, toxicity
 from .common import table
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: quality_rules.quality_rules(table(spark, d, "documents")),
+    "op2_toxicity": lambda spark, d: toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_token_counts": lambda spark, d: token_counts.section_tokens(table(spark, d, "documents")),
+    "op4_language_id": lambda spark, d: language_id.language_id(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op8_pii": lambda spark, d: pii.personal_data(table(spark, d, "documents")),
