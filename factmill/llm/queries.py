@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, near_dedup, packing, pii, quality_rules, token_counts, toxicity
+from . import decontaminate, language_id, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_token_counts": lambda spark, d: token_counts.section_tokens(table(spark, d, "documents")),
     "op4_language_id": lambda spark, d: language_id.language_id(table(spark, d, "documents")),
     "op5_decontamination": lambda spark, d: decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op6_substring_dedup": lambda spark, d: substring_dedup.substring_dedup(table(spark, d, "documents")),
     "op7_packing": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op8_pii": lambda spark, d: pii.personal_data(table(spark, d, "documents")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup(table(spark, d, "documents")),
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_decontamination": decontaminate.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_near_dedup": near_dedup.SQL,
 }
