@@ -11,11 +11,10 @@ Steps, all as tables:
 1. Documents with one set are one node; only a node for each distinct set goes on, so copies are never paired.
 2. Bands that a single node has are of no use: a bit map of bounded size tells which are shared, and keys are made of
    shared bands alone. This loses no pair.
-3. In every bucket of a key all nodes are compared with one of them, and the pairs are verified on the full sets. The
-   links found give components. A second round takes another centre for what is still apart in its bucket.
-4. What is then still apart in one bucket is paired by a join on the key; sizes and the 32 minhashes rule out pairs
-   before they are made (12 of 32 equal are asked for; a pair of similarity 0.8 has fewer with probability 2e-8).
-   Those pairs are verified too. There is no cap anywhere.
+3. In every bucket of a key all nodes are compared with its most central one, and the pairs are verified on the full
+   sets. The links found give components, so a large group of near copies costs a pair for each copy, not for each two.
+4. Among nodes that are still apart from others of their bucket, all pairs that may be links are found by their rarest
+   shingles (an exact filter), and verified too. There is no cap anywhere.
 
 Documents without words (or with a null text) are linked with nothing. Rows with one doc_id are joined by their sets
 alone; a null doc_id names a component only if all its rows have one. Shingles are held to be equal, and sets too, if
@@ -29,14 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, BitMap, bit_map, constants, flat, grams, hashes, mix, pieces, signed, spans, stored
 from .components import components
 
 LEFT, RIGHT = 12, 8
-LEAST_EQUAL = 12
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -118,16 +116,26 @@ def _apart(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "key")
 
 
-def _alike(apart: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of nodes of one bucket and of different components, less those that sizes or minhashes rule out."""
-    rich = apart.select("key", "node", "label").join(nodes.select("node", "n", "prints"), "node")
-    one, two = (rich.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "n", "prints"))) for s in "ab")
-    equal = F.lit(0)
-    for i in range(n):
-        equal = equal + F.when(F.substring("prints_a", 4 * i + 1, 4) == F.substring("prints_b", 4 * i + 1, 4), 1).otherwise(0)
+def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of different components that may be links, by the rarest shingles of each.
+
+    In any order that holds for all shingles, from the first one on that both have there must be as many left in either
+    set as both must have in common. A shingle of one node alone joins nothing, so nodes with enough of their own drop
+    out, as do those whose size is too different.
+    """
+    label = apart.select("node", "label").distinct()
+    rows = sets.join(label, "node").select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    rows = rows.join(often, "shingle")
+    held = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    rows = rows.withColumn("own", F.col("size") - held).withColumn("rank", F.col("own") + rank).drop("own", "often")
+    rows = rows.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+    one, two = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "rank"))) for s in "ab")
     may = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-    may &= (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    return one.join(two, "key").filter(may & (equal >= LEAST_EQUAL * n // 32)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    for s in "ab":  # if this shingle is the first that both have, enough must be left from it on
+        may &= (100 + percent) * (F.col(f"size_{s}") - F.col(f"rank_{s}") + 1) >= percent * (F.col("size_a") + F.col("size_b"))
+    return one.join(two, "shingle").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, k: int = 4, percent: int = 80, left: int = LEFT, right: int = RIGHT) -> DataFrame:
@@ -145,31 +153,29 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 80, left: int =
     keys = nodes.select("node", "prints").mapInArrow(lambda b: _keys(b, left, right, filter_.value), "key long, node long")
     keys = stored(keys, "keys")
 
-    # one centre a bucket
-    centres = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
-    pairs = stored(keys.join(centres, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    wanted = keys.join(centres, "key", "left_semi").select("node").distinct().join(nodes, "node").select("doc_id").distinct()
-    sets = docs.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # in each bucket its most central node, the one with the most company in all its buckets, is held against the others
+    crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = stored(keys.join(crowd, "key"), "keys")
+    company = keys.groupBy("node").agg(F.sum("n").alias("company"))
+    keys = stored(keys.drop("n").join(company, "node"), "keys")
+    wanted = keys.select("node").distinct().join(nodes, "node").select(F.col("doc_id").alias("__id")).distinct()
+    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     sets = sets.select("text").mapInArrow(lambda b: _sets(b, k), "node long, shingles array<long>")
     sets = stored(sets.dropDuplicates(["node"]).filter(F.size("shingles") > 0), "sets")
+
+    centres = keys.groupBy("key").agg(F.max(F.struct("company", "node")).alias("c")).select("key", F.col("c.node").alias("a"))
+    pairs = keys.join(centres, "key").filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    pairs = stored(pairs, "pairs")
     links = stored(_verified(pairs, sets, percent), "verified")
     labels = components(links)
 
-    # another centre for what is apart, then all pairs of a bucket that may still be links
+    # what is still apart within a bucket
     apart = stored(_apart(keys, labels), "apart")
     if not apart.isEmpty():
-        centre = apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("a"), F.col("label").alias("own"))).alias("c")).select("key", "c.a", "c.own")
-        again = apart.join(centre, "key").filter("label <> own").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        again = stored(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_verified(again, sets, percent), "verified")
+        rest = stored(_rare_pairs(apart, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = stored(_verified(rest, sets, percent), "verified")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-            apart = stored(_apart(keys, labels), "apart")
-        rest = _alike(apart, nodes, n, percent).join(pairs.unionByName(again), ["a", "b"], "left_anti")
-        last = stored(_verified(stored(rest, "pairs"), sets, percent), "verified")
-        if not last.isEmpty():
-            labels = components(links.unionByName(last))
+            labels = components(links.unionByName(more))
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
