@@ -43,7 +43,7 @@ def priority(kind: Column, doc: Column, signature: Column, modifiers: Column) ->
         weight = F.when(kind.isin(*names), value).otherwise(weight)
     has = lambda word: F.coalesce(F.array_contains(modifiers, word), F.lit(False)).cast("int")
     undocumented = (F.coalesce(F.trim(doc), F.lit("")) == "").cast("int")
-    return (weight + 80 * undocumented + F.coalesce(F.least(F.lit(100), F.floor(F.length(signature) / 5)), F.lit(0)) + 50 * has("public") + 40 * has("abstract")).cast("long")
+    return (weight + 80 * undocumented + F.least(F.lit(100), F.floor(F.coalesce(F.length(signature), F.lit(0)) / 5)) + 50 * has("public") + 40 * has("abstract")).cast("long")
 
 
 def token_estimate(text: Column) -> Column:
@@ -55,7 +55,7 @@ def confidence(answer: Column) -> Column:
     """The first number under confidence or severityScore, in percent if above 1, within 0 and 1."""
     number = F.coalesce(*(F.when(F.get_json_object(answer, f"$.{k}").rlike(r"^-?[0-9.]+(?:[eE][-+]?[0-9]+)?$"), F.get_json_object(answer, f"$.{k}").try_cast("double")) for k in ("confidence", "severityScore")))
     share = F.when(number > 1, number / 100).otherwise(number)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(DEFAULT_CONFIDENCE))
+    return F.when(share.isNull(), DEFAULT_CONFIDENCE).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 
 def evidence(answer: Column, default: Column) -> Column:

@@ -74,7 +74,7 @@ def macro_parameters(text: Column) -> Column:
 
 def duration_text(millis: Column) -> Column:
     """`ms` below a second, else seconds with one decimal."""
-    return F.when(millis < 1000, F.concat(millis.cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_number(millis / 1000, "0.0"), F.lit("s")))
+    return F.when(millis < 1000, F.concat(millis.cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_number(millis / 1000, 1), F.lit("s")))
 
 
 def chat_url(base: Column) -> Column:

@@ -419,7 +419,7 @@ def stale_insights(spark, d):
 
 
 @query(f"""WITH {E}, s AS (SELECT id, CAST(CASE WHEN type IN ('Class', 'Interface', 'Enum') THEN 200 WHEN type IN ('Method', 'Constructor') THEN 20 ELSE 1 END + CASE WHEN trim(coalesce(doc_comment, '')) = '' THEN 80 ELSE 0 END
-    + coalesce(least(100, length(signature) // 5), 0) + CASE WHEN modifiers = 'public' THEN 50 ELSE 0 END AS BIGINT) AS score FROM e WHERE type IN ('Class', 'Method', 'Interface')),
+    + least(100, coalesce(length(signature), 0) // 5) + CASE WHEN modifiers = 'public' THEN 50 ELSE 0 END AS BIGINT) AS score FROM e WHERE type IN ('Class', 'Method', 'Interface')),
 n AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s)
 SELECT id, score, CAST(rank AS INTEGER) AS rank, rank * 500 <= 60000 AS within_budget FROM n WHERE rank <= 200""")
 def llm_candidates(spark, d):
