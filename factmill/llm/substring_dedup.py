@@ -11,8 +11,9 @@ are built over shards that hold what may match and nothing else, and the passage
    shard of the anchor's hash. A shard takes its passages in order of document and place: it streams each through the
    suffix automaton of the earlier ones, whose matching statistics tell which windows have been before, and then adds
    the passage to the automaton. A passage equal to an earlier one is not added again.
-3. An anchor with more than ``HOT`` places is no shard by itself: its windows are dealt singly, by their own hashes.
-   The earliest place of each is found by a combining minimum, and the others join it.
+3. An anchor with more than ``HOT`` places is no shard by itself. Its passages are first held against equal ones, in
+   the same document before any shuffle, then by a combining minimum of their places. The windows of those that are
+   left are dealt singly, by their own hashes, in the same way.
 4. The windows found are gathered by document, and their words removed.
 
 False positives of the bit map cost work and change nothing. Anchors are 64-bit hashes of words; windows of one anchor
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, BitMap, bit_map, flat, grams, hashes, pieces, signed, spans, stored
+from .common import NOT_SPACE, BitMap, bit_map, constants, flat, grams, hashes, mix, pieces, signed, spans, stored
 
 WINDOW, ANCHOR = 20, 10
 HOT = 2000
@@ -145,19 +146,27 @@ def _passages(batches: Iterator[pa.RecordBatch], window: int, anchor: int, repea
         })
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch], window: int, anchor: int, hot: BitMap) -> Iterator[pa.RecordBatch]:
+def _hot_runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int, hot: BitMap) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with a hot anchor: a hash of the run's words, and of each window. ``again``: its document had it."""
+    c = constants(61, 3)
     for batch in pieces(batches):
         found = Passages(batch.column("text"), window, anchor)
         runs = np.flatnonzero(hot.holds(found.anchor))
-        n = found.count[runs]
-        at = np.repeat(found.begin[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        doc = np.repeat(found.doc[runs], n)
+        n, begin, doc = found.count[runs], found.begin[runs], found.doc[runs]
         whole = grams(found.words, window)
+        ends = np.cumsum(n)
+        at = np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))
+        run = mix(whole[begin] * c[0] + whole[begin + n - 1] * c[1] + n.astype(np.uint64) * c[2])
+        order = np.lexsort((begin, run, doc))
+        again = np.zeros(len(run), bool)
+        again[order[1:]] = (run[order[1:]] == run[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
         yield pa.RecordBatch.from_pydict({
-            "hash": pa.array(signed(whole[at])),
+            "run": pa.array(signed(run)),
             "doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)),
             "mark": batch.column("mark").take(pa.array(doc)),
-            "start": pa.array((at - found.first[doc]).astype(np.int32)),
+            "start": pa.array((begin - found.first[doc]).astype(np.int32)),
+            "windows": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(signed(whole[at]))),
+            "again": pa.array(again),
         })
 
 
@@ -221,12 +230,24 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_pla
     order = [F.col("anchor"), F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("start")]
     found = parts.repartition("anchor").sortWithinPartitions(*order).mapInArrow(lambda b: _shards(b, window), "doc_id long, mark long, start int, stop int")
 
-    single = docs.select("doc_id", "mark", "text").mapInArrow(lambda b: _hot_windows(b, window, anchor, hot.value), "hash long, doc_id long, mark long, start int")
-    single = stored(single, "hot-windows")
+    return found.unionByName(_hot_repeats(docs, window, anchor, hot))
+
+
+def _hot_repeats(docs: DataFrame, window: int, anchor: int, hot) -> DataFrame:
+    """The same for the windows of hot anchors: whole runs first, then the windows of what runs are left."""
+    runs = docs.select("doc_id", "mark", "text").mapInArrow(lambda b: _hot_runs(b, window, anchor, hot.value), "run long, doc_id long, mark long, start int, windows array<long>, again boolean")
+    runs = stored(runs, "hot-runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "start")
-    least = single.groupBy("hash").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "least")
-    later = single.join(least, "hash").filter(~place.eqNullSafe(F.col("least")))
-    return found.unionByName(later.select("doc_id", "mark", "start", (F.col("start") + window).alias("stop")))
+    fresh = runs.filter("not again")
+    least = fresh.groupBy("run").agg(F.min(place).alias("least"))
+    held = stored(fresh.join(least, "run").select("doc_id", "mark", "start", "windows", (~place.eqNullSafe(F.col("least"))).alias("again")), "hot-runs")
+    later = runs.filter("again").drop("run").unionByName(held.filter("again").select("doc_id", "mark", "start", "windows", "again"))
+    later = later.select("doc_id", "mark", "start", (F.col("start") + F.size("windows") + window - 1).alias("stop"))
+    single = held.filter("not again").select("doc_id", "mark", F.posexplode("windows").alias("i", "hash"), F.col("start").alias("begin"))
+    single = single.select("hash", "doc_id", "mark", (F.col("begin") + F.col("i")).alias("start"))
+    first = single.groupBy("hash").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "least")
+    again = single.join(first, "hash").filter(~place.eqNullSafe(F.col("least")))
+    return later.unionByName(again.select("doc_id", "mark", "start", (F.col("start") + window).alias("stop")))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
