@@ -160,9 +160,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     found = detected(docs.select("doc_id", "text")).select("doc_id", "__spans")
     base = F.filter("__spans", lambda x: x["order"] < len(BASE))
+    count = lambda kind: F.size(F.filter("__spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *(F.size(F.filter("__spans", lambda x, i=i: x["order"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)),
+        *(count(k).alias(f"n_{k}") for k in BASE),
         F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"),
         shown(F.col("__spans")).alias("spans"),
         F.size("__spans").cast("long").alias("n_spans"),
