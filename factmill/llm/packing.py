@@ -101,8 +101,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...],
 
     def emit(window: list) -> None:
         nonlocal count
-        size = sum(len(p[2]) for p in window)
-        tier = next(t for t in (*tiers, size) if t >= size)
+        tier = sum(len(p[2]) for p in window)
         group = groups.setdefault((tier, made[tier] * tier // step_tokens), len(groups))
         made[tier] += 1
         offset = 0
