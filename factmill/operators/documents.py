@@ -75,6 +75,22 @@ def class_diagram(entities: DataFrame, relations: DataFrame, limit: int = NODE_L
     return first.unionByName(edges.groupBy("section", "line").agg(F.min("id").alias("id")).select("section", F.lit(0).alias("place"), "line"))
 
 
+def linked(sections: DataFrame, entities: DataFrame) -> DataFrame:
+    """``sections`` (section, content) with each backquoted qualified name of one entity made a link to its id.
+
+    Names are looked up by a join, so neither the number of names nor that of sections matters.
+    """
+    parts = F.split("content", "`", -1)  # names are the odd parts
+    asked = sections.select("section", F.posexplode(parts).alias("i", "part"))
+    known = entities.groupBy(F.col("qualified_name").alias("part")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    found = asked.join(known.filter("part <> ''"), "part", "left")
+    name = F.col("i") % 2 == 1
+    text = F.when(name & F.col("id").isNotNull(), F.concat(F.lit("[`"), "part", F.lit("`](#"), "id", F.lit(")"))).when(name, F.concat(F.lit("`"), "part", F.lit("`"))).otherwise(F.col("part"))
+    rows = F.array_sort(F.collect_list(F.struct("i", text.alias("text"))))
+    made = found.groupBy("section").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("content"))
+    return sections.drop("content").join(made, "section").select(*sections.columns)
+
+
 def reference_failures(refs: DataFrame, evidence: DataFrame, entities: DataFrame, insights: DataFrame) -> DataFrame:
     """(section, failure): references to nothing, evidence outside its entity, and insights that are not approved.
 

@@ -119,6 +119,13 @@ def test_document(spark):
     assert lines == ["class Sub", "go()", "class Top", "Top <|-- Sub"]
 
 
+def test_names_become_links(spark):
+    sections = spark.createDataFrame([("1", "see `p.A` and `p.Z`, not p.A"), ("2", "")], "section string, content string")
+    entities = spark.createDataFrame([("java:p.A", "p.A"), ("x", "p.Z"), ("y", "p.Z")], "id string, qualified_name string")
+    got = {r.section: r.content for r in documents.linked(sections, entities).collect()}
+    assert got == {"1": "see [`p.A`](#java:p.A) and `p.Z`, not p.A", "2": ""}
+
+
 def test_stream(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1, 0, 5)
     rows = [("p", "r", "stage_started", "parse", None, at), ("p", "r", "stage_started", "enrich", None, at), ("q", "r", "run_completed", "run", None, at + datetime.timedelta(hours=3))]
