@@ -35,6 +35,7 @@ from .common import LOWER, NOT_SPACE, BitMap, bit_map, constants, flat, grams, h
 from .components import components
 
 LEFT, RIGHT = 12, 8
+PARITY = 512
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -57,6 +58,15 @@ def minhashes(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return mix(least).astype(np.uint32)
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """Whether an odd number of values falls on each of PARITY bits, as 64-bit words.
+
+    Two sets differ in at least as many values as their parities differ in bits.
+    """
+    odd = np.bincount((values >> np.uint64(32)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, n: int) -> Iterator[pa.RecordBatch]:
     multipliers = constants(31, n)
     for batch in pieces(batches):
@@ -78,7 +88,9 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         sets = list(shingle_sets(batch.column("text"), k))
         nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64)
         values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(signed(np.concatenate([*sets, np.empty(0, np.uint64)]))))
-        yield pa.RecordBatch.from_pydict({"node": pa.array(signed(nodes)), "shingles": values})
+        bits = np.stack([parity(x) for x in sets])
+        parities = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, PARITY // 64), pa.int32()), pa.array(bits.reshape(-1)))
+        yield pa.RecordBatch.from_pydict({"node": pa.array(signed(nodes)), "shingles": values, "parity": parities})
 
 
 def _bands(batch: pa.RecordBatch, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +133,7 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     In any order that holds for all shingles, from the first one on that both have there must be as many left in either
     set as both must have in common. A shingle of one node alone joins nothing, so nodes with enough of their own drop
-    out, as do those whose size is too different.
+    out, as do those whose size is too different, or whose parities show that too many shingles differ.
     """
     label = apart.select("node", "label").distinct()
     rows = sets.join(label, "node").select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
@@ -131,10 +143,13 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
     rows = rows.withColumn("own", F.col("size") - held).withColumn("rank", F.col("own") + rank).drop("own", "often")
     rows = rows.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
-    one, two = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "rank"))) for s in "ab")
+    rows = rows.join(sets.select("node", "parity"), "node")
+    one, two = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "rank", "parity"))) for s in "ab")
     may = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
     for s in "ab":  # if this shingle is the first that both have, enough must be left from it on
         may &= (100 + percent) * (F.col(f"size_{s}") - F.col(f"rank_{s}") + 1) >= percent * (F.col("size_a") + F.col("size_b"))
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    may &= (100 + percent) * (F.col("size_a") + F.col("size_b") - differ) >= 2 * percent * (F.col("size_a") + F.col("size_b"))
     return one.join(two, "shingle").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -160,7 +175,7 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 80, left: int =
     keys = stored(keys.drop("n").join(company, "node"), "keys")
     wanted = keys.select("node").distinct().join(nodes, "node").select(F.col("doc_id").alias("__id")).distinct()
     sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = sets.select("text").mapInArrow(lambda b: _sets(b, k), "node long, shingles array<long>")
+    sets = sets.select("text").mapInArrow(lambda b: _sets(b, k), "node long, shingles array<long>, parity array<long>")
     sets = stored(sets.dropDuplicates(["node"]).filter(F.size("shingles") > 0), "sets")
 
     centres = keys.groupBy("key").agg(F.max(F.struct("company", "node")).alias("c")).select("key", F.col("c.node").alias("a"))
