@@ -201,17 +201,14 @@ def line_index(lines: DataFrame) -> DataFrame:
 
 def hot_lines(lines: DataFrame, index: DataFrame, least_docs: int) -> DataFrame:
     """(doc_id, mark, line) of those lines whose count, as the shard's arrays have it, is at least ``least_docs``."""
-    # a shard's look-ups are cut by document, so that a hot line's are too; the shards' table is a few numbers a shard
     shards = index.select("shards").first()
     n = shards.shards if shards else 1
-    cuts = index.select("shard", F.greatest(F.lit(1), F.ceil(F.col("probes") / SLICE_PROBES)).cast("int").alias("cuts"))
-    most = cuts.agg(F.max("cuts")).first()[0] or 1
-    probes = lines.select(
-        F.pmod(F.shiftrightunsigned("line", 20), F.lit(n)).cast("int").alias("shard"),
-        F.pmod(F.xxhash64("doc_id", "mark"), F.lit(most)).cast("int").alias("cut"),
-        "doc_id", "mark", "line",
-    )
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("cut"), "perfect", "prints", "counts")
+    # a shard with many look-ups is cut by document, so that a hot line's are too; only its own arrays are copied for that
+    cuts = index.select("shard", F.ceil(F.col("probes") / SLICE_PROBES).cast("int").alias("cuts"))
+    probes = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("line", 20), F.lit(n)).cast("int"))
+    probes = probes.join(cuts.filter("cuts > 1"), "shard", "left")
+    probes = probes.select("shard", F.pmod(F.xxhash64("doc_id", "mark"), F.coalesce("cuts", F.lit(1))).cast("int").alias("cut"), "doc_id", "mark", "line")
+    copies = index.join(cuts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.greatest("cuts", F.lit(1)) - 1)).alias("cut"), "perfect", "prints", "counts")
 
     def look_up(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(probes) or not len(shard):
