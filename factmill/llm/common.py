@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step of a Python task works on.
 CHUNK_BYTES = 1 << 20
 
+#: Rows that travel to Python at once, at most: they hold whole texts, and the buffers of both sides grow with them.
+BATCH_ROWS = 2000
+
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -36,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:  # of the session, as results are made later
+        spark.conf.set(limit, str(BATCH_ROWS))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
