@@ -61,6 +61,24 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert {r.doc_id for r in quality_rules.quality_filter(docs).collect()} == {i for i, k in got.items() if k}
 
 
+def test_repeated_lines_and_words_reject_alone(spark):
+    rows = _corpus(900, 7)
+    menus, passages = set(range(0, 900, 18)), set(range(5, 900, 18))
+    for i, (n, t, lang, s) in enumerate(rows):
+        w = (t + " " + t[::-1]).split()[:50]
+        if i in menus:  # short lines between unique ones: no window of 8 words is there twice
+            rows[i] = n, "\n".join(f"{a} x{k}\nMore" for k, a in enumerate(w)), lang, s
+        if i in passages:  # a quarter of the words, below the base rule
+            made = [f"{a}{k}" for k, a in enumerate(w * 2)][:80]
+            rows[i] = n, " ".join(made[:40] + made[:10] + made[40:] + made[:10]), lang, s
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in menus | passages)
+    assert all(got[i].n_dup_lines and not got[i].n_repeat_words for i in menus)
+    assert all(got[i].n_repeat_words and not got[i].n_dup_lines for i in passages)
+    assert not any(got[i].kept for i in menus | passages)
+    assert all(r.kept for i, r in got.items() if i not in menus | passages)
+
+
 def test_distances_are_those_of_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 4)) @ rng.normal(size=(4, 4)) + 3
