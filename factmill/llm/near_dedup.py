@@ -77,6 +77,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, n: int) -> Iterator[p
             prints.append(minhashes(values, multipliers).tobytes() if len(values) else None)
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id").cast(pa.int64()),
+            "text_hash": batch.column("text_hash"),
             "node": pa.array(nodes, pa.uint64()).view(pa.int64()),
             "n_shingles": pa.array(sizes, pa.int64()),
             "prints": pa.array(prints, pa.binary()),
@@ -153,11 +154,11 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.join(two, "shingle").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def near_components(docs: DataFrame, k: int = 4, percent: int = 80, left: int = LEFT, right: int = RIGHT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; links join sets with 100 * both >= ``percent`` * either."""
-    docs = docs.select("doc_id", "text")
+def _labelled(docs: DataFrame, k: int, percent: int, left: int = LEFT, right: int = RIGHT) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (node, doc_id, label): the component of every node, with a doc_id that has it."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     n = 2 * left + right
-    signatures = stored(docs.mapInArrow(lambda b: _signatures(b, k, n), "doc_id long, node long, n_shingles long, prints binary"), "signatures")
+    signatures = stored(docs.mapInArrow(lambda b: _signatures(b, k, n), "doc_id long, text_hash long, node long, n_shingles long, prints binary"), "signatures")
     held = signatures.filter("n_shingles > 0")
     nodes = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("prints").alias("prints"))
     nodes = stored(nodes, "nodes")
@@ -192,7 +193,12 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 80, left: int =
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
-    named = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return signatures, nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
+def near_components(docs: DataFrame, k: int = 4, percent: int = 80, left: int = LEFT, right: int = RIGHT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; links join sets with 100 * both >= ``percent`` * either."""
+    signatures, named = _labelled(docs, k, percent, left, right)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")
     found = signatures.select("doc_id", "node", "n_shingles").join(named, "node", "left")
@@ -205,9 +211,27 @@ def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which near_dedup keeps the doc_id."""
-    gone = near_dedup(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` with one document of each component: that with the least doc_id (null last), then the least text hash.
+
+    Rows are told apart by doc_id and the hash of their text. Repeated rows of one doc_id and one text are one document,
+    which stays or goes as a whole; rows with a null doc_id are documents of their own, so of equal ones a single row
+    stays. Rows without words are linked with nothing and stay.
+    """
+    signatures, named = _labelled(docs, k, percent)
+    rows = signatures.filter("n_shingles > 0").select("doc_id", "text_hash", "node")
+    rows = rows.groupBy("doc_id", "text_hash", "node").agg(F.count(F.lit(1)).alias("n")).join(named.select("node", "label"), "node")
+    rows = stored(rows.select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").alias("row"), "n"), "near-rows")
+    least = rows.groupBy("label").agg(F.min("row").alias("least"))
+    # what goes whole; and null ids of which one row must be picked among equal ones
+    gone = rows.join(least, "label").filter((F.col("row") != F.col("least")) | (F.col("row.none") & (F.col("n") > 1)))
+    gone = stored(gone.select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"), (F.col("row") == F.col("least")).alias("__one")), "near-gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = docs.join(gone, same, "left_anti")
+    picked = gone.filter("__one")
+    if picked.isEmpty():
+        return kept
+    one = docs.filter("doc_id is null").join(picked.select("__hash"), F.xxhash64("text") == F.col("__hash")).dropDuplicates(["__hash"])
+    return kept.unionByName(one.select(*docs.columns))
 
 
 SQL = """

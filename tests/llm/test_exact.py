@@ -196,6 +196,20 @@ def test_near_dedup_of_odd_rows(spark):
     assert near_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_rows_are_deduplicated_each_by_itself(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    near = lambda t: t + " more"
+    held = [(1, a), (None, near(a)), (None, b), (None, None), (None, None),  # a copy without an id takes no other
+            (2, c), (3, near(c)), (3, d), (3, d),  # nor one with an id the other text of it; repeated rows are one
+            *[(None, "n " + a[::-1])] * 3, (None, near("n " + a[::-1])),  # of copies without ids one row stays
+            (4, "q " + b[::-1]), (4, "Q " + b[::-1])]  # and of texts with one id
+    got = [(r.doc_id, r.text) for r in near_dedup.deduplicated(table(spark, held)).collect()]
+    few = [x for x in got if x not in {(None, None)} and not (x[1] or "").startswith(("n ", "q ", "Q "))]
+    assert sorted(few, key=repr) == sorted([(1, a), (None, b), (2, c), (3, d), (3, d)], key=repr)
+    assert got.count((None, None)) == 2
+    assert sum(1 for x in got if (x[1] or "").startswith("n ")) == 1 and sum(1 for x in got if x[0] == 4) == 1
+
+
 @pytest.fixture(scope="module")
 def reference_encoder():
     from tokenizers import Tokenizer
