@@ -35,6 +35,15 @@ def test_cycles(spark, pairs, expected):
     assert sorted(r.child for r in graph.on_cycles(rows).collect()) == expected
 
 
+def test_overridden_at_any_level(spark):
+    parents = [(f"t{i}", f"t{i + 1}", 0) for i in range(11)] + [("t11", "t9", 1), ("t0", "i", 1), ("i", "t2", 0)]  # with a cycle and two ways to t2
+    methods = [("low", "t0", "f()"), ("high", "t11", "f()"), ("other", "t0", "g()"), ("m1", "t0", "h()"), ("m2", "t2", "h()")]
+    args = spark.createDataFrame(methods, "id string, owner string, key string"), spark.createDataFrame(parents, "child string, parent string, rank int")
+    got = lambda *depth: {(r.id, r.target_id) for r in graph.first_overridden(*args, *depth).collect()}
+    assert got() == {("low", "high"), ("m1", "m2")}
+    assert got(5) == {("m1", "m2")}
+
+
 def test_threshold_is_strict(spark):
     new = spark.createDataFrame([(f"f{i}", "1") for i in range(10)], "path string, checksum string")
     old = spark.createDataFrame([(f"f{i}", "1" if i > 1 else "0") for i in range(10)], "path string, checksum string")
