@@ -9,7 +9,7 @@ passage of each. As the model is linear in the mean, scoring needs one number a
 sums and divides, and nothing is shuffled.
 
 Learned from are rows of ``labels`` whose crc32(doc_id) modulo 5 is not 0: those with the smallest hash of doc_id, at
-most ``SAMPLE_ROWS`` of them and ``SAMPLE_BYTES`` of text. A doc_id labelled twice counts with its highest label; null
+most ``SAMPLE_ROWS`` of them and ``SAMPLE_BYTES`` of text; a text that does not fit is passed over. A doc_id labelled twice counts with its highest label; null
 labels are left out. A null or empty text has no features and gets the score of the bias alone. Without labels every
 score is 0.
 """
@@ -195,18 +195,19 @@ class _Trainer:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """Texts and labels to learn from: a bounded number of rows and bytes, the smallest hashes of doc_id first."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__label"))
-    picked = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("__size")).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__size").limit(rows).collect()
-    used, ids = 0, {}
-    for row in picked:
-        used += row["__size"]
-        if used > most:
-            break
-        ids[row.doc_id] = row["__label"]
+    picked = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("__size")).filter(F.col("__size") <= most).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__size").limit(rows).collect()
+    used, ids, sizes = 0, {}, set()
+    for row in picked:  # what does not fit is passed over
+        if used + row["__size"] <= most:
+            used += row["__size"]
+            ids[row.doc_id] = row["__label"]
+            sizes.add((row.doc_id, row["__size"]))
     if not ids:
         return [], []
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(k,) for k in ids], "doc_id long")
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").collect()  # at most ``rows`` ids
+    wanted = spark.createDataFrame(sorted(sizes), "doc_id long, __size int")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__size", F.octet_length("text"))
+    found = texts.join(F.broadcast(wanted), ["doc_id", "__size"]).select("doc_id", "text").collect()  # at most ``rows`` ids
     found.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in found], [ids[r.doc_id] for r in found]
 
