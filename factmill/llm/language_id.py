@@ -9,7 +9,8 @@ marginal weight, each word counting by its bytes; its share is the score.
 
 The field is trained in numpy, by Adagrad on the exact gradient of the conditional likelihood, on a bounded sample of
 the rows with a language whose crc32(doc_id) modulo 5 is not 0: of each language rows with the smallest hashes of doc_id,
-up to an equal share of ``SAMPLE_BYTES``. Labels are those of the documents; so that transitions are learned, some of
+up to an equal share of ``SAMPLE_BYTES``; a text that does not fit is passed over, and where none fits the beginning
+of the first one is taken. Languages beyond the ``MOST_LANGUAGES`` most frequent are not learned. Labels are those of the documents; so that transitions are learned, some of
 the passages take the second half of another one.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0. With no row to learn from every text is
@@ -216,14 +217,20 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -
     picked = known.select("doc_id", "lang", F.octet_length("text").alias("__size"), place.alias("__place")).join(F.broadcast(shares), "lang").filter("__place < __share").collect()
     used: dict[str, int] = defaultdict(int)
     taken: dict[str, int] = defaultdict(int)
-    ids = {}
-    for row in sorted(picked, key=lambda r: (r["__place"], r.doc_id)):
-        used[row.lang] += row["__size"] or 0
-        taken[row.lang] += 1
-        if row["__size"] and taken[row.lang] <= each and (used[row.lang] <= most // len(counts) or taken[row.lang] == 1):
-            ids[row.doc_id] = row.lang
-    wanted = spark.createDataFrame([(k,) for k in ids], "doc_id long")
-    found = docs.select("doc_id", "text", "lang").join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).collect()  # at most ``rows`` ids
+    ids, share = {}, most // len(counts)
+    picked = [r for r in sorted(picked, key=lambda r: (r["__place"], r.doc_id)) if r["__size"]]
+    for row in picked:  # what does not fit is passed over
+        if taken[row.lang] < each and used[row.lang] + row["__size"] <= share:
+            used[row.lang] += row["__size"]
+            taken[row.lang] += 1
+            ids[row.doc_id, row.lang, row["__size"]] = share
+    for row in picked:  # where no text fits, the beginning of the first one is taken
+        if not taken[row.lang]:
+            taken[row.lang] = 1
+            ids[row.doc_id, row.lang, row["__size"]] = share // 4  # characters of at most 4 bytes
+    wanted = spark.createDataFrame([(*k, n) for k, n in ids.items()], "doc_id long, lang string, __size int, __most int")
+    texts = docs.select("doc_id", "text", "lang").withColumn("__size", F.octet_length("text"))
+    found = texts.join(F.broadcast(wanted), ["doc_id", "lang", "__size"]).select("doc_id", F.expr("substring(text, 1, __most)").alias("text"), "lang").collect()  # at most ``rows`` ids
     found.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in found], [r.lang for r in found]
 

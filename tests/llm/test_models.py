@@ -159,6 +159,20 @@ def test_labels_are_read_with_care(spark):
     assert len(toxicity.sample(docs, labels, most=0)[0]) == 0
 
 
+def test_long_texts_do_not_end_the_sample(spark):
+    ids = [i for i in range(60) if not _held(i)]
+    labels = spark.createDataFrame([(i, 1, 1) for i in ids], "doc_id long, quality int, toxic int")
+    first = toxicity.sample(table(spark, [(i, f"t{i}") for i in ids]), labels, rows=1)[0][0]
+    docs = table(spark, [(i, "x" * 5000 if f"t{i}" == first else f"short {i}") for i in ids])
+    used, marks = toxicity.sample(docs, labels, most=4000)
+    assert len(used) == len(marks) == len(ids) - 1 and max(map(len, used)) < 10
+    rows = [(i, None if i % 5 == 0 else "é" * 3000 if i % 5 == 1 or i % 2 else f"short {i}", "ab"[i % 2]) for i in range(200)]
+    used, langs = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=4000)
+    assert langs.count("a") > 30 and set(langs) == {"a", "b"}  # b has long texts alone
+    for lang in "ab":
+        assert sum(len(t.encode()) for t, x in zip(used, langs, strict=True) if x == lang) <= 2000
+
+
 # --- languages -------------------------------------------------------------------------------------------------------
 
 STEMS = {"xa": ["tion", "ing", "the", "oun", "ly"], "xb": ["keit", "sch", "ung", "ber", "pf"], "xc": ["cao", "nhi", "que", "oso", "lla"]}
