@@ -84,6 +84,17 @@ def test_same_place_relations_are_numbered(spark):
     assert overrides(entities, found).count() == 0
 
 
+def test_members_are_inherited_over_many_levels(spark):
+    made = [("C0.java", "class C0 extends C1 { void f() { far(1); this.stock = 2; } }")]
+    made += [(f"C{i}.java", f"class C{i} extends C{i + 1} {{ }}") for i in range(1, 7)]
+    made += [("C7.java", "class C7 extends C5 { int stock; void far(int x) { } }")]  # on a cycle
+    entities, references, _, _ = parse(source_files.imported(spark, made), parse_java, "X")
+    held = lambda **depth: {(r.type, r.target_id) for r in resolve(entities, references, **depth).filter("source_id like '%.f#%' or source_id like '%C0.f%'").collect()}
+    got = held()
+    assert ("CALLS", "java:C7.far#(I)V") in got and ("WRITES", "java:C7.stock") in got
+    assert not {("CALLS", "java:C7.far#(I)V"), ("WRITES", "java:C7.stock")} & held(depth=4)
+
+
 def test_broken_file_is_one_issue(spark):
     def bad(path, text):
         if "bad" in path:
