@@ -13,8 +13,13 @@ Steps, all as tables:
    shared bands alone. This loses no pair.
 3. In every bucket of a key all nodes are compared with its most central one, and the pairs are verified on the full
    sets. The links found give components, so a large group of near copies costs a pair for each copy, not for each two.
-4. Among nodes that are still apart from others of their bucket, all pairs that may be links are found by their rarest
-   shingles (an exact filter), and verified too. There is no cap anywhere.
+4. Buckets that hold several components get rounds of further centres, drawn by hash. A round compares a centre with the
+   nodes of other components, and components that it links are contracted. A bucket stays in as long as a round halves
+   the number of its components, so it takes a logarithm of its size in rounds and a pair a node in each.
+   Buckets draw their centres independently, so a dense group is tied together in a round or two.
+5. Among nodes that are still apart from others of their bucket, all pairs that may be links are found by their rarest
+   shingles (an exact filter), and verified too. Nodes for which no list of a shingle holds a partner of fitting size
+   leave before any pair is made. There is no cap anywhere.
 
 Documents without words (or with a null text) are linked with nothing. Rows with one doc_id are joined by their sets
 alone; a null doc_id names a component only if all its rows have one. Shingles are held to be equal, and sets too, if
@@ -122,19 +127,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def _apart(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label) of the buckets that hold several components."""
-    labelled = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+def _near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and parities do not rule out: an exact filter that reads no set."""
+    for s in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(s), F.size("shingles").alias(f"size_{s}"), F.col("parity").alias(f"parity_{s}")), s)
+    return pairs.filter(_may_link(percent)).drop("size_a", "size_b", "parity_a", "parity_b")
+
+
+def _may_link(percent: int) -> F.Column:
+    """Whether size_a, size_b, parity_a and parity_b allow a link."""
+    both = F.col("size_a") + F.col("size_b")
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows (key, node, label) of the buckets that hold several components."""
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     return labelled.join(mixed, "key")
 
 
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with the labels that ``merged`` (node: an old label, label) gives to their old ones."""
+    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return rows.join(merged, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
+def _centre_rounds(apart: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What is apart (key, node, label) after rounds of further centres, and the mergers of labels of each round."""
+    mergers, active, number = [], apart, 0
+    while not active.isEmpty():
+        number += 1
+        centre = F.max(F.struct(F.xxhash64("key", "node", F.lit(number)).alias("draw"), "node", "label")).alias("c")
+        centres = active.groupBy("key").agg(centre).select("key", F.col("c.node").alias("c"), F.col("c.label").alias("other"))
+        pairs = active.join(centres, "key").filter("label <> other")
+        pairs = pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
+        links = stored(_verified(_near_enough(pairs, sets, percent), sets, percent), "verified")
+        labels = active.select("node", "label").distinct()
+        for s in "ab":
+            links = links.join(labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")), s)
+        links = stored(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "merged")
+        if links.isEmpty():
+            break
+        merged = components(links)
+        mergers.append(merged)
+        before = active.select("key", "node", F.col("label").alias("was"))
+        after = stored(_relabelled(active, merged).join(before, ["key", "node"]), "apart")
+        fewer = after.groupBy("key").agg(F.countDistinct("was").alias("was"), F.countDistinct("label").alias("now"))
+        fewer = fewer.filter("now > 1 and 2 * now <= was").select("key")
+        active = stored(after.drop("was").join(fewer, "key"), "apart")
+    for merged in mergers:
+        apart = _relabelled(apart, merged)
+    return (stored(_mixed(apart), "apart") if mergers else apart), mergers
+
+
+def _with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (shingle, node, label, size, left) that have a partner of another component and of fitting size.
+
+    With ``left`` of its shingles from this one on, a node can be linked to one of (100 + percent) * left / percent - size
+    shingles at most. So a row whose node is larger than what all others of its list can be linked to makes no pair.
+    """
+    rows = rows.withColumn("most", F.floor((100 + percent) * F.col("left") / percent) - F.col("size"))
+    first = rows.groupBy("shingle").agg(F.max(F.struct("most", "label")).alias("first"))
+    rows = rows.join(first, "shingle")
+    second = rows.filter("label <> first.label").groupBy("shingle").agg(F.max("most").alias("second"))
+    rows = rows.join(second, "shingle")  # lists of one component make no pair
+    return rows.filter(F.col("size") <= F.when(F.col("label") == F.col("first.label"), F.col("second")).otherwise(F.col("first.most"))).drop("most", "first", "second")
+
+
 def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of different components that may be links, by the rarest shingles of each.
 
     In any order that holds for all shingles, from the first one on that both have there must be as many left in either
     set as both must have in common. A shingle of one node alone joins nothing, so nodes with enough of their own drop
-    out, as do those whose size is too different, or whose parities show that too many shingles differ.
+    out, as do those without a fitting partner, or whose parities show that too many shingles differ.
     """
     label = apart.select("node", "label").distinct()
     rows = sets.join(label, "node").select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
@@ -142,16 +208,14 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(often, "shingle")
     held = F.count(F.lit(1)).over(Window.partitionBy("node"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    rows = rows.withColumn("own", F.col("size") - held).withColumn("rank", F.col("own") + rank).drop("own", "often")
-    rows = rows.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
-    rows = rows.join(sets.select("node", "parity"), "node")
-    one, two = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "rank", "parity"))) for s in "ab")
+    rows = rows.withColumn("own", F.col("size") - held).withColumn("left", F.col("size") - F.col("own") - rank + 1).drop("own", "often")
+    rows = stored(_with_partners(rows.filter(100 * F.col("left") >= percent * F.col("size")), percent), "rare")
+    rows = stored(_with_partners(rows, percent).join(sets.select("node", "parity"), "node"), "rare")
+    one, two = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "left", "parity"))) for s in "ab")
     may = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
     for s in "ab":  # if this shingle is the first that both have, enough must be left from it on
-        may &= (100 + percent) * (F.col(f"size_{s}") - F.col(f"rank_{s}") + 1) >= percent * (F.col("size_a") + F.col("size_b"))
-    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)), F.lit(0))
-    may &= (100 + percent) * (F.col("size_a") + F.col("size_b") - differ) >= 2 * percent * (F.col("size_a") + F.col("size_b"))
-    return one.join(two, "shingle").filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        may &= (100 + percent) * F.col(f"left_{s}") >= percent * (F.col("size_a") + F.col("size_b"))
+    return one.join(two, "shingle").filter(may & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _labelled(docs: DataFrame, k: int, percent: int, left: int = LEFT, right: int = RIGHT) -> tuple[DataFrame, DataFrame]:
@@ -186,12 +250,23 @@ def _labelled(docs: DataFrame, k: int, percent: int, left: int = LEFT, right: in
     labels = components(links)
 
     # what is still apart within a bucket
-    apart = stored(_apart(keys, labels), "apart")
+    labelled = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    apart = stored(_mixed(labelled), "apart")
     if not apart.isEmpty():
+        apart, mergers = _centre_rounds(apart, sets, percent)
         rest = stored(_rare_pairs(apart, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_verified(rest, sets, percent), "verified")
+        more = _verified(rest, sets, percent)
+        of = apart.select("node", "label").distinct()
+        for s in "ab":
+            more = more.join(of.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")), s)
+        more = stored(more.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "merged")
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            mergers.append(components(more))
+        if mergers:
+            labels = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+            for merged in mergers:
+                labels = _relabelled(labels, merged)
+            labels = stored(labels, "labels")
 
     return signatures, nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
 
