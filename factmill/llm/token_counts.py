@@ -1,8 +1,8 @@
 """Token counts of sections by offset-mapped attribution.
 
-A whole document is encoded once. The bytes that its tokens stand for, laid end to end, are the text, so running sums of
-their sizes are the tokens' spans. Spans and sections are then joined as intervals, by binary search. A token that
-crosses a boundary is allocated by a rule:
+A whole document is encoded once. The encoder maps each token to its span of the text: running sums of the bytes that
+ids stand for, where the file is byte-level, else its own offsets. Spans and sections are then joined as intervals, by
+binary search. A token that crosses a boundary is allocated by a rule:
 
 - ``largest``: to the section that holds most of its bytes, the earlier of equals (the default);
 - ``first``: to the section of its first byte; ``last``: to that of its last byte.
@@ -46,15 +46,14 @@ def sentences(data: np.ndarray) -> np.ndarray:
     return starts[:-1] if len(starts) > 1 and starts[-1] == len(data) else starts
 
 
-def attribute(sizes: np.ndarray, starts: np.ndarray, total: int, rule: str = "largest") -> tuple[np.ndarray, np.ndarray]:
-    """The section of each token of the given sizes, and which tokens cross a boundary.
+def attribute(begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, total: int, rule: str = "largest") -> tuple[np.ndarray, np.ndarray]:
+    """The section of each token, given its first byte and its end, and which tokens cross a boundary.
 
-    ``starts``: the first byte of each section, from 0 on; ``total``: bytes of the text.
+    ``starts``: the first byte of each section, from 0 on; ``total``: bytes of the text. A token without bytes is in the
+    section of its place.
     """
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
     low = np.searchsorted(starts, begins, "right") - 1
-    high = np.searchsorted(starts, ends - 1, "right") - 1
+    high = np.searchsorted(starts, np.maximum(begins, ends - 1), "right") - 1
     crossing = high > low
     if rule == "first":
         return low, crossing
@@ -82,8 +81,8 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, sections: Callable, rul
             own = data[offsets[row] : offsets[row + 1]]
             starts = sections(own)
             n = len(starts)
-            tokens = encode(text or "")
-            section, crossing = attribute(encode.sizes[tokens], starts, len(own), rule)
+            tokens, begins, ends = encode.spans(text or "")
+            section, crossing = attribute(begins, ends, starts, len(own), rule)
             chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
             bounds = chars[np.append(starts, len(own))]
             for to, values in zip(out, (np.full(n, row), np.arange(n), bounds[:-1], bounds[1:], np.bincount(section, minlength=n), np.bincount(section[crossing], minlength=n), np.full(n, len(tokens))), strict=True):

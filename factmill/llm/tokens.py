@@ -1,8 +1,9 @@
-"""Byte-level BPE token ids from a tokenizer file of the tokenizers library.
+"""Token ids, and the bytes each token stands for, by a tokenizer file of the tokenizers library.
 
 Where the file is plain byte-level BPE whose merges stand in the order of their ids, tiktoken's engine is run over the
 same vocabulary: it gives the same ids (tests hold it against tokenizers) in about a quarter of the time. Any other file
-is run by tokenizers itself. Strings of special tokens in a text are ordinary text.
+is run by tokenizers itself, and its offsets tell the spans. As in tokenizers, a string of an added token in a text, such
+as `<|endoftext|>`, is that token; nothing else is added.
 """
 
 from __future__ import annotations
@@ -21,19 +22,14 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    """Text to ids; ``sizes`` holds the bytes that each id stands for (0 for special tokens)."""
+    """Text to ids. ``sizes`` holds the bytes that each id stands for, where ids alone tell them, else None."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         symbols, vocab = byte_symbols(), spec["model"]["vocab"]
-        special = {x["content"] for x in spec.get("added_tokens", ())}
-        self.sizes = np.zeros(max([*vocab.values(), *(x["id"] for x in spec.get("added_tokens", ()))]) + 1, np.int64)
-        ranks = {}
-        for token, i in vocab.items():
-            if token not in special and all(c in symbols for c in token):
-                ranks[bytes(symbols[c] for c in token)] = i
-                self.sizes[i] = len(token)
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+        ranks = {bytes(symbols[c] for c in token): i for token, i in vocab.items() if token not in added and all(c in symbols for c in token)}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", ())]
         before = spec.get("pre_tokenizer") or {}
         plain = (
@@ -44,23 +40,45 @@ class Encoder:
             and not spec.get("normalizer")
             and len(ranks) == 256 + len(merges)
             and all(vocab.get(a + b) == 256 + n for n, (a, b) in enumerate(merges))
+            and not any(x.get(k) for x in spec.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word"))
         )
         if plain:
             import public_tokenizers
             import tiktoken
 
-            engine = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self._encode = engine.encode_ordinary
+            self.sizes = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+            for token, i in [*ranks.items(), *((text.encode(), i) for text, i in added.items())]:
+                self.sizes[i] = len(token)
+            engine = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+            strings = tuple(added)
+
+            def encode(text: str) -> list[int]:
+                if any(x in text for x in strings):
+                    return engine.encode(text, allowed_special="all", disallowed_special=())
+                return engine.encode_ordinary(text)
+
+            self._encode = encode
         else:
             from tokenizers import Tokenizer
 
-            engine = Tokenizer.from_file(path)
-            engine.encode_special_tokens = True
-            self._encode = lambda text: engine.encode(text, add_special_tokens=False).ids
+            self.sizes, self._engine = None, Tokenizer.from_file(path)
+            self._encode = lambda text: self._engine.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> np.ndarray:
         return np.array(self._encode(text), np.uint32)
 
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids, and the bytes of the UTF-8 text at which the tokens begin and end."""
+        if self.sizes is not None:
+            ids = self(text)
+            ends = np.cumsum(self.sizes[ids])
+            return ids, ends - self.sizes[ids], ends
+        made = self._engine.encode(text, add_special_tokens=False)
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # the byte of each character
+        chars = np.array(made.offsets, np.int64).reshape(-1, 2)
+        return np.array(made.ids, np.uint32), at[chars[:, 0]], at[chars[:, 1]]
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:

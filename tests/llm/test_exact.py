@@ -210,25 +210,64 @@ def test_rows_are_deduplicated_each_by_itself(spark):
     assert sum(1 for x in got if (x[1] or "").startswith("n ")) == 1 and sum(1 for x in got if x[0] == 4) == 1
 
 
+SPECIAL = ["<|endoftext|>", "<|endoftext|> hi", "a  <|endoftext|><|endoftext|>  \n b.\n<|endoftext", "x.<|endoftext|> y"]
+
+
 @pytest.fixture(scope="module")
 def reference_encoder():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(tokens.default_path())
-    made.encode_special_tokens = True
     return lambda text: made.encode(text or "", add_special_tokens=False)
 
 
 def test_ids_are_those_of_tokenizers(reference_encoder):
     encode = tokens.encoder(tokens.default_path())
-    for text in texts(4) + [t for t in ODD if t] + ["it's <|endoftext|> naïve 漢字　 \U0001f600 don't\r\n\t x", "z" * 5000]:
+    for text in texts(4) + [t for t in ODD if t] + ["it's <|endoftext|> naïve 漢字　 \U0001f600 don't\r\n\t x", "z" * 5000, *SPECIAL]:
         made = encode(text)
         assert made.tolist() == reference_encoder(text).ids
         assert encode.sizes[made].sum() == len(text.encode())
 
 
+def test_spans_of_files_that_are_not_byte_level():
+    import public_tokenizers
+
+    encode = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Naïve  Words,\n漢字 <|endoftext|> END"
+    ids, begins, ends = encode.spans(text)
+    assert encode.sizes is None and len(ids) == len(begins) > 5
+    parts = [text.encode()[a:b].decode(errors="replace") for a, b in zip(begins, ends, strict=True)]
+    assert parts[-2:] == ["<|endoftext|>", "END"] and "," in parts and all(parts)
+
+
+def test_token_counts_by_offsets(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, [(1, "One two.\n\nThree, four\n"), (2, None), (3, "é漢 ß. x")])
+    found = token_counts.section_tokens(docs, path, token_counts.lines).collect()
+    for i, text in ((1, "One two.\n\nThree, four\n"), (2, ""), (3, "é漢 ß. x")):
+        own = sorted((r for r in found if r.doc_id == i), key=lambda r: r.section)
+        # white space is in no token of this file and lines cut none, so lines can be encoded one by one
+        assert [r.n_tokens for r in own] == [len(tokens.encoder(path)(x)) for x in (text.splitlines(True) or [""])]
+
+
+def test_tiers_and_gaps():
+    pool, sizes = packing.Pool(), [700, 600, 300, 200, 130, 120, 100, 90, 60, 40, 8, 3]
+    for i, n in enumerate(sizes):
+        pool.add((i, 0, np.full(n, i, np.uint32), n))
+    made = list(packing.windows(pool, (128, 256, 512, 1024)))
+    assert Counter({i: n for i, n in enumerate(sizes)}) == sum((Counter({p[0]: len(p[2])}) for w in made for p in w), Counter())
+    # the longest tier first, each window begun by a tail of its tier, gaps filled by the largest tails of shorter tiers
+    # and at last by a cut of the next one
+    assert [(p[0], len(p[2])) for p in made[0]] == [(0, 700), (2, 300), (10, 8), (11, 3), (1, 13)]
+    assert [(p[0], p[1], len(p[2])) for p in made[1]][:3] == [(1, 13, 587), (3, 0, 200), (4, 0, 130)]
+    assert [sum(len(p[2]) for p in w) for w in made[:2]] == [1024, 1024]
+    assert all(n & (n - 1) == 0 for w in made for n in [sum(len(p[2]) for p in w)])
+
+
 def test_packing(spark, reference_encoder):
-    docs = odd_table(spark).repartition(3)
+    docs = odd_table(spark).unionByName(table(spark, list(enumerate(SPECIAL, 800)))).repartition(3)
     held = Counter((r.doc_id, r.text) for r in docs.collect())
     found = packing.pack(docs, with_ids=True).collect()
     sequences = defaultdict(list)
@@ -239,14 +278,13 @@ def test_packing(spark, reference_encoder):
     pieces = Counter()
     for r in found:
         pieces[(r.doc_id, r.start, r.ids)] += 1
-    for (doc, text), times in held.items():
+    for doc, text in held:
         ids = np.array([*reference_encoder(text).ids, 0], "<u4")
         own = {start: data for (i, start, data) in pieces if i == doc and ids.tobytes()[4 * start : 4 * start + len(data)] == data}
         at = 0
         while at < len(ids):  # pieces of this text follow one another
             assert at in own
             at += len(own[at]) // 4
-        assert times >= 1
     for parts in sequences.values():
         parts.sort(key=lambda r: r.offset)
         size = sum(r.length for r in parts)
@@ -265,7 +303,7 @@ def test_step_groups_are_balanced(spark):
 @pytest.mark.parametrize("rule", ["largest", "first", "last"])
 @pytest.mark.parametrize("sections", [token_counts.sentences, token_counts.lines])
 def test_token_counts(spark, reference_encoder, rule, sections):
-    docs = odd_table(spark).unionByName(table(spark, [(900, "One. Two! Three?\n\n\nFour. é漢. End"), (901, "a.\n\n b.\n\n\n\n c")]))
+    docs = odd_table(spark).unionByName(table(spark, [(900, "One. Two! Three?\n\n\nFour. é漢. End"), (901, "a.\n\n b.\n\n\n\n c"), *enumerate(SPECIAL, 910)]))
     got = defaultdict(list)
     for r in token_counts.section_tokens(docs, sections=sections, rule=rule).collect():
         got[r.doc_id].append(r)
