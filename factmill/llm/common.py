@@ -7,7 +7,6 @@ the same rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -26,29 +25,49 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the session names none."""
+    """The cluster's checkpoint folder; in local mode, where the session names none, a folder of this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not context.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factmill-"))
     return context.getCheckpointDir().get().rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors.
+
+    While it is written, at most BATCH_ROWS rows go to Python at once; the session's own limit holds again afterwards.
+    """
     spark = df.sparkSession
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(limit)) <= BATCH_ROWS:  # of the session, as results are made later
-        spark.conf.set(limit, str(BATCH_ROWS))
+    own = spark.conf.get(limit)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if not 0 < int(own) <= BATCH_ROWS:
+        spark.conf.set(limit, str(BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(limit, own)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[F.Column]]:
+    """``docs`` with all columns but the ``needed`` ones renamed by place, and the columns that undo it.
+
+    So the names that an operator works with never clash with those of its input.
+    """
+    names = [c.lower() if c.lower() in needed else f"__in{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,13 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinants.
 
 Statistics of each whole text are turned into a vector (log of the mean word length, roots of the shares of symbols,
-repeated lines and repeated words). For every language and source a centre and a covariance are estimated by
-concentration steps: from medians and median deviations, then again and again from the half or more of the rows that
-lie nearest by Mahalanobis distance, and at last from the rows inside a chi-square quantile. Rows whose distance is
-beyond a far quantile are rejected.
+repeated lines and repeated words). For every language and source the minimum covariance determinant is searched as the
+deterministic algorithm does: several robust first estimates (medians with median deviations, and with the correlations
+of hyperbolic tangents and of spatial signs) are each taken through concentration steps, which estimate centre and
+covariance from the half or more of the rows that lie nearest by Mahalanobis distance and never raise the determinant.
+After ``first_steps`` the start with the least determinant is kept and goes on until its determinant falls no more (at
+most ``steps`` in all). At last the estimate is made again from the rows inside a chi-square quantile. Rows whose
+distance is beyond a far quantile are rejected.
 
 All of it is DataFrame expressions and small aggregates over all rows: moments and quantile sketches are combined
 before any shuffle, so a source with a third of the rows is no hot spot. Quantiles are ``percentile_approx`` with a
@@ -24,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import carried, stored
 from .native import let, words
 
 WINDOW = 8
@@ -35,7 +38,11 @@ NAMES = ("length", "symbols", "lines", "repeats")
 FLOORS = (0.1, 0.1, 0.1, 0.07)
 LEAST_ROWS = 200
 HALF = 0.75
-STEPS = 3
+STARTS = ("deviations", "tangents", "signs")
+FIRST_STEPS = 2
+STEPS = 20
+#: A determinant that falls by less than this share has settled.
+SETTLED = 1e-3
 TAIL = 1e-6
 
 
@@ -146,7 +153,8 @@ def _distance() -> Column:
 
 
 def _factored(moments: DataFrame, scale: float, floors: tuple[float, ...]) -> DataFrame:
-    """Group, centre and the inverse of the lower Cholesky factor of scale * covariance + floors², column by column."""
+    """Group, start, centre and the inverse of the lower Cholesky factor of scale * covariance + floors², with the log of
+    the covariance's determinant, column by column."""
     cov = lambda i, j: F.col(f"__c{max(i, j)}{min(i, j)}") * scale + (floors[i] ** 2 if i == j else 0.0)
     out = moments
     for j in range(P):
@@ -166,33 +174,75 @@ def _factored(moments: DataFrame, scale: float, floors: tuple[float, ...]) -> Da
             for k in range(j, i):
                 total = total - F.col(f"__l{i}{k}") * F.col(f"__w{k}{j}")
             out = out.withColumn(f"__w{i}{j}", total / F.col(f"__l{i}{i}"))
-    names = [f"__m{i}" for i in range(P)] + [f"__w{i}{j}" for i in range(P) for j in range(i + 1)]
-    return stored(out.select("__group", *names), "quality-factors")
+    determinant = sum((2 * F.log(f"__l{j}{j}") for j in range(P)), F.lit(0.0)).alias("__determinant")
+    return stored(out.select(*_FACTOR, determinant), "quality-factors")
+
+
+_FACTOR = ["__group", "__start", *(f"__m{i}" for i in range(P)), *(f"__w{i}{j}" for i in range(P) for j in range(i + 1))]
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("__group").agg(
+    return rows.groupBy("__group", "__start").agg(
         *(F.avg(x).alias(f"__m{i}") for i, x in enumerate(_X)),
         *(F.covar_pop(_X[i], _X[j]).alias(f"__c{i}{j}") for i in range(P) for j in range(i + 1)),
     )
 
 
-def estimates(rows: DataFrame, half: float = HALF, steps: int = STEPS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """One row a group: centre and factor. ``rows``: __group and the vector of every row that passes the base rule."""
+def _first(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """The first estimates, a row for each group and start: medians, and covariances of standardised values."""
     middle = stored(rows.groupBy("__group").agg(*(F.percentile_approx(x, 0.5, 10000).alias(f"__m{i}") for i, x in enumerate(_X))), "quality-medians")
     wide = rows.join(middle, "__group").groupBy("__group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"__m{i}")), 0.5, 10000).alias(f"__d{i}") for i, x in enumerate(_X)))
-    start = middle.join(wide, "__group")
-    weights = [(1 / F.greatest(1.4826 * F.col(f"__d{i}"), F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"__w{i}{j}") for i in range(P) for j in range(i + 1)]
-    factors = stored(start.select("__group", *(f"__m{i}" for i in range(P)), *weights), "quality-factors")
-    inner = chi2_quantile(half, P)
-    scale = half / chi2_cdf(inner, P + 2)  # the covariance of the nearest rows is smaller than that of all
-    for _ in range(steps):
-        near = rows.join(factors, "__group").select("__group", *_X, _distance().alias("__d"))
-        bound = near.groupBy("__group").agg(F.percentile_approx("__d", half, 10000).alias("__bound"))
-        factors = _factored(_moments(near.join(stored(bound, "quality-bounds"), "__group").filter("__d <= __bound")), scale, floors)
+    middle = middle.join(wide, "__group").select("__group", *(f"__m{i}" for i in range(P)), *(F.greatest(1.4826 * F.col(f"__d{i}"), F.lit(floors[i])).alias(f"__d{i}") for i in range(P)))
+    middle = stored(middle, "quality-medians")
+    z = rows.join(middle, "__group").select("__group", *(((F.col(x) - F.col(f"__m{i}")) / F.col(f"__d{i}")).alias(f"z{i}") for i, x in enumerate(_X)))
+    norm = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0))), F.lit(1e-9))
+    y = z.select("__group", *(F.tanh(f"z{i}").alias(f"t{i}") for i in range(P)), *((F.col(f"z{i}") / norm).alias(f"s{i}") for i in range(P)))
+    y = y.groupBy("__group").agg(*(F.covar_pop(f"{c}{i}", f"{c}{j}").alias(f"{c}{i}{j}") for c in "ts" for i in range(P) for j in range(i + 1)))
+    y = middle.join(y, "__group")
+    # the variances of a standard normal's tangent (0.394) and of a spatial sign's part (1 / P) are made 1
+    spread = {"deviations": lambda i, j: F.lit(float(i == j)), "tangents": lambda i, j: F.col(f"t{i}{j}") / 0.394, "signs": lambda i, j: F.col(f"s{i}{j}") * P}
+    made = F.array(*(F.struct(F.lit(n).alias("__start"), *((F.col(f"__d{i}") * F.col(f"__d{j}") * spread[n](i, j)).alias(f"__c{i}{j}") for i in range(P) for j in range(i + 1))) for n in STARTS))
+    y = y.select("__group", *(f"__m{i}" for i in range(P)), F.explode(made).alias("made")).select("__group", *(f"__m{i}" for i in range(P)), "made.*")
+    return _factored(y, 1.0, floors)
+
+
+def _concentrated(rows: DataFrame, factors: DataFrame, half: float, floors: tuple[float, ...]) -> DataFrame:
+    """A concentration step for every group and start of ``factors``."""
+    scale = half / chi2_cdf(chi2_quantile(half, P), P + 2)  # the covariance of the nearest rows is smaller than that of all
+    near = rows.join(factors, "__group").select("__group", "__start", *_X, _distance().alias("__d"))
+    bound = near.groupBy("__group", "__start").agg(F.percentile_approx("__d", half, 10000).alias("__bound"))
+    near = near.join(stored(bound, "quality-bounds"), ["__group", "__start"]).filter("__d <= __bound")
+    return _factored(_moments(near), scale, floors)
+
+
+def least_determinants(rows: DataFrame, half: float = HALF, first_steps: int = FIRST_STEPS, steps: int = STEPS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """One row a group: the centre and factor with the least determinant that concentration finds from any start."""
+    active = _first(rows, floors)
+    for _ in range(first_steps):
+        active = _concentrated(rows, active, half, floors)
+    best = active.groupBy("__group").agg(F.min(F.struct("__determinant", "__start")).alias("best"))
+    active = stored(active.join(best.select("__group", F.col("best.__start").alias("__start")), ["__group", "__start"]), "quality-factors")
+    settled = []
+    for _ in range(steps - first_steps):
+        after = _concentrated(rows, active, half, floors)
+        before = active.select("__group", F.col("__determinant").alias("__before"))
+        after = stored(after.join(before, "__group"), "quality-factors")
+        done = F.col("__before") - F.col("__determinant") <= SETTLED
+        settled.append(after.filter(done).drop("__before"))
+        active = after.filter(~done).drop("__before")
+        if active.isEmpty():
+            break
+    for x in settled:
+        active = active.unionByName(x)
+    return active
+
+
+def estimates(rows: DataFrame, half: float = HALF, steps: int = STEPS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """One row a group: centre and factor. ``rows``: __group and the vector of every row that passes the base rule."""
+    factors = least_determinants(rows, half, steps=steps, floors=floors)
     inside = chi2_quantile(0.975, P)
-    near = rows.join(factors, "__group").select("__group", *_X, _distance().alias("__d")).filter(F.col("__d") <= inside)
-    return _factored(_moments(near), 0.975 / chi2_cdf(inside, P + 2), floors)
+    near = rows.join(factors, "__group").select("__group", "__start", *_X, _distance().alias("__d")).filter(F.col("__d") <= inside)
+    return _factored(_moments(near), 0.975 / chi2_cdf(inside, P + 2), floors).drop("__determinant")
 
 
 def judged(measured_rows: DataFrame, least_rows: int = LEAST_ROWS, tail: float = TAIL) -> DataFrame:
@@ -216,4 +266,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return judged(stored(measured(docs), "quality")).filter("__kept").select(*docs.columns)
+    inner, back = carried(docs, "text", "lang", "source")
+    return judged(stored(measured(inner), "quality")).filter("__kept").select(*back)

@@ -79,26 +79,56 @@ def test_repeated_lines_and_words_reject_alone(spark):
     assert all(r.kept for i, r in got.items() if i not in menus | passages)
 
 
+FLOOR = 0.01
+HALF_SCALE = 0.75 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 6)
+
+
+def _vectors(spark, groups):
+    rows = [(g, *map(float, v)) for g, x in groups.items() for v in x]
+    return spark.createDataFrame(rows, "__group string, __x0 double, __x1 double, __x2 double, __x3 double")
+
+
+def _covariance(x, scale=HALF_SCALE):
+    return scale * np.cov(x.T, bias=True) + np.diag([FLOOR**2] * 4)
+
+
+def _planted(seed, n, bad):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) + 3
+    x[:bad] += 40
+    return x
+
+
+def test_least_determinants_are_those_of_all_subsets(spark):
+    """Against every subset of nine of twelve rows: the minimum covariance determinant itself."""
+    held = {f"g{seed}.{bad}": _planted(seed, 12, bad) for seed in range(5) for bad in (2, 3)}
+    got = {r["__group"]: r for r in quality_rules.least_determinants(_vectors(spark, held), floors=(FLOOR,) * 4).collect()}
+    for g, x in held.items():
+        want = min(np.linalg.slogdet(_covariance(x[list(s)]))[1] for s in itertools.combinations(range(12), 9))
+        if g.endswith(".3"):  # the nine rows that are not planted
+            assert got[g]["__determinant"] == pytest.approx(want, abs=1e-6)
+        else:  # one of ten may be left out: a local least is near the least, and has none of those planted
+            assert want - 1e-6 <= got[g]["__determinant"] <= want + 2.5
+
+
 def test_distances_are_those_of_numpy(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(1500, 4)) @ rng.normal(size=(4, 4)) + 3
-    x[:200] += 40
-    df = spark.createDataFrame([("g", *map(float, v)) for v in x], "__group string, __x0 double, __x1 double, __x2 double, __x3 double")
-    floors = (0.01,) * 4
-    got = df.join(quality_rules.estimates(df, floors=floors), "__group").select("__x0", quality_rules._distance().alias("d")).collect()
-
-    middle = np.median(x, axis=0)
-    distance = (((x - middle) / np.maximum(1.4826 * np.median(np.abs(x - middle), axis=0), 0.01)) ** 2).sum(axis=1)
-    for half, scale in [(0.75, 0.75 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.75, 4), 6))] * 3 + [(None, 0.975 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.975, 4), 6))]:
-        if half:
-            inside = distance <= np.sort(distance)[int(np.ceil(half * len(x))) - 1]
-        else:
-            inside = distance <= quality_rules.chi2_quantile(0.975, 4)
-        mean, cov = x[inside].mean(axis=0), scale * np.cov(x[inside].T, bias=True) + np.diag([0.01**2] * 4)
+    held = {"g": _planted(4, 1500, 200), "h": _planted(5, 700, 150)}
+    df = _vectors(spark, held)
+    factors = quality_rules.estimates(df, floors=(FLOOR,) * 4)
+    got = df.join(factors, "__group").select("__group", "__x0", quality_rules._distance().alias("d")).collect()
+    for g, x in held.items():
+        # concentration from the clean rows, until it stands still
+        inside = np.arange(len(x)) >= 200
+        for _ in range(50):
+            mean, cov = x[inside].mean(axis=0), _covariance(x[inside])
+            distance = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            inside = distance <= np.sort(distance)[int(np.ceil(0.75 * len(x))) - 1]
+        inside = distance <= quality_rules.chi2_quantile(0.975, 4)
+        mean, cov = x[inside].mean(axis=0), _covariance(x[inside], 0.975 / quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.975, 4), 6))
         distance = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    want = dict(zip(x[:, 0].tolist(), distance.tolist(), strict=True))
-    assert all(r.d == pytest.approx(want[r["__x0"]], rel=0.05, abs=0.05) for r in got)
-    assert (distance[:200] > 1000).all() and np.median(distance[200:]) < 6
+        want = dict(zip(x[:, 0].tolist(), distance.tolist(), strict=True))
+        assert all(r.d == pytest.approx(want[r["__x0"]], rel=0.25, abs=0.25) for r in got if r["__group"] == g)
+        assert (distance[:150] > 1000).all() and np.median(distance[200:]) < 6
 
 
 def test_chi_square():
