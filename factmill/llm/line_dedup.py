@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACE, flat, mix, pieces, stored
+from .common import SPACE, carried, flat, mix, pieces, stored
 
 SHARD_KEYS = 1 << 18
 SLICE_PROBES = 1 << 18
@@ -220,14 +220,8 @@ def hot_lines(lines: DataFrame, index: DataFrame, least_docs: int) -> DataFrame:
     return probes.groupBy("shard", "cut").cogroup(copies.groupBy("shard", "cut")).applyInPandas(look_up, "doc_id long, mark long, line long")
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
-    """Drop lines whose key is in at least ``least_docs`` documents.
-
-    All columns of ``docs`` (doc_id and text among them) come back; ``__lines`` and ``__dropped`` are the lines before
-    dropping and those dropped, ``__kept`` is the text that stays. Keys shorter than ``least_chars`` stay everywhere.
-    An empty table gives an empty table.
-    """
-    least = least_chars
+def _dropped(docs: DataFrame, least_docs: int, least: int) -> DataFrame:
+    """``docs`` (doc_id, text and columns named by ``carried``) with __lines, __dropped and __kept, the text that stays."""
     lines = docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(lambda b: _doc_lines(b, least), "doc_id long, mark long, line long")
     lines = stored(lines, "lines")
     index = line_index(lines)
@@ -240,6 +234,17 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) ->
     return found.mapInArrow(lambda b: _drop(b, least, arrow, rest), schema)
 
 
+def dedup_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
+    """Drop lines whose key is in at least ``least_docs`` documents.
+
+    All columns of ``docs`` (doc_id, of an integer type, and text among them) come back, with the text that stays; a null
+    text stays null. Keys shorter than ``least_chars`` stay everywhere. An empty table gives an empty table.
+    """
+    inner, back = carried(docs, "doc_id", "text")
+    text = F.when(F.col("text").isNotNull(), F.col("__kept"))
+    return _dropped(inner, least_docs, least_chars).withColumn("text", text).select(*back)
+
+
 def _mark() -> F.Column:
     """Tells apart the texts of rows with one doc_id."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
@@ -247,7 +252,7 @@ def _mark() -> F.Column:
 
 def line_dedup(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every document."""
-    kept = dedup_lines(docs.select("doc_id", "text"), least_docs, least_chars)
+    kept = _dropped(docs.select("doc_id", "text"), least_docs, least_chars)
     return kept.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, BitMap, bit_map, constants, flat, grams, hashes, mix, pieces, signed, spans, stored
+from .common import LOWER, NOT_SPACE, BitMap, bit_map, carried, constants, flat, grams, hashes, mix, pieces, signed, spans, stored
 from .components import components
 
 LEFT, RIGHT = 12, 8
@@ -182,17 +182,17 @@ def _centre_rounds(apart: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
 
 
 def _with_partners(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows (shingle, node, label, size, left) that have a partner of another component and of fitting size.
+    """The rows (shingle, node, label, size, left) whose list has several components and a partner of fitting size.
 
     With ``left`` of its shingles from this one on, a node can be linked to one of (100 + percent) * left / percent - size
-    shingles at most. So a row whose node is larger than what all others of its list can be linked to makes no pair.
+    shingles at most. So a row whose node is larger than what any of its list can be linked to makes no pair. ``big`` is
+    the component with the most nodes in the list.
     """
-    rows = rows.withColumn("most", F.floor((100 + percent) * F.col("left") / percent) - F.col("size"))
-    first = rows.groupBy("shingle").agg(F.max(F.struct("most", "label")).alias("first"))
-    rows = rows.join(first, "shingle")
-    second = rows.filter("label <> first.label").groupBy("shingle").agg(F.max("most").alias("second"))
-    rows = rows.join(second, "shingle")  # lists of one component make no pair
-    return rows.filter(F.col("size") <= F.when(F.col("label") == F.col("first.label"), F.col("second")).otherwise(F.col("first.most"))).drop("most", "first", "second")
+    most = F.max(F.floor((100 + percent) * F.col("left") / percent) - F.col("size")).alias("most")
+    lists = rows.groupBy("shingle", "label").agg(most, F.count(F.lit(1)).alias("n"))
+    lists = lists.groupBy("shingle").agg(F.max("most").alias("most"), F.max(F.struct("n", "label")).alias("big"), F.count(F.lit(1)).alias("labels"))
+    lists = stored(lists.filter("labels > 1").select("shingle", "most", F.col("big.label").alias("big")), "lists")
+    return rows.drop("big").join(lists, "shingle").filter("size <= most").drop("most")
 
 
 def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,11 +211,12 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.withColumn("own", F.col("size") - held).withColumn("left", F.col("size") - F.col("own") - rank + 1).drop("own", "often")
     rows = stored(_with_partners(rows.filter(100 * F.col("left") >= percent * F.col("size")), percent), "rare")
     rows = stored(_with_partners(rows, percent).join(sets.select("node", "parity"), "node"), "rare")
-    one, two = (rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "left", "parity"))) for s in "ab")
-    may = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+    # of two components one is not the list's largest: a list costs its nodes outside that one, times all of them
+    one, two = (x.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "left", "parity"))) for s, x in (("a", rows.filter("label <> big")), ("b", rows)))
+    may = F.col("label_a") != F.col("label_b")
     for s in "ab":  # if this shingle is the first that both have, enough must be left from it on
         may &= (100 + percent) * F.col(f"left_{s}") >= percent * (F.col("size_a") + F.col("size_b"))
-    return one.join(two, "shingle").filter(may & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return one.join(two, "shingle").filter(may & _may_link(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _labelled(docs: DataFrame, k: int, percent: int, left: int = LEFT, right: int = RIGHT) -> tuple[DataFrame, DataFrame]:
@@ -292,6 +293,7 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     which stays or goes as a whole; rows with a null doc_id are documents of their own, so of equal ones a single row
     stays. Rows without words are linked with nothing and stay.
     """
+    docs, back = carried(docs, "doc_id", "text")
     signatures, named = _labelled(docs, k, percent)
     rows = signatures.filter("n_shingles > 0").select("doc_id", "text_hash", "node")
     rows = rows.groupBy("doc_id", "text_hash", "node").agg(F.count(F.lit(1)).alias("n")).join(named.select("node", "label"), "node")
@@ -303,10 +305,10 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     kept = docs.join(gone, same, "left_anti")
     picked = gone.filter("__one")
-    if picked.isEmpty():
-        return kept
-    one = docs.filter("doc_id is null").join(picked.select("__hash"), F.xxhash64("text") == F.col("__hash")).dropDuplicates(["__hash"])
-    return kept.unionByName(one.select(*docs.columns))
+    if not picked.isEmpty():
+        one = docs.filter("doc_id is null").join(picked.select("__hash"), F.xxhash64("text") == F.col("__hash")).dropDuplicates(["__hash"])
+        kept = kept.unionByName(one.select(*docs.columns))
+    return kept.select(*back)
 
 
 SQL = """
