@@ -26,10 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that are in ten documents or more; n_chars is that of the text that stays."""
     kept = dedup_lines(docs)
-    text = {"text": F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("__kept"))}
-    if "n_chars" in docs.columns:
-        text["n_chars"] = F.length("__kept").cast("long")
-    return kept.select(*(text.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return kept.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in kept.columns else kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

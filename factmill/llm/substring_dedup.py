@@ -38,6 +38,7 @@ from .common import NOT_SPACE, BitMap, bit_map, constants, flat, grams, hashes,
 WINDOW, ANCHOR = 20, 10
 HOT = 2000
 _TOKEN = 5  # bytes
+_ANCHOR = constants(62, 1)[0]
 
 
 # --- automata --------------------------------------------------------------------------------------------------------
@@ -120,7 +121,8 @@ class Passages:
         new = np.ones(len(at), bool)
         new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
         head = np.flatnonzero(new)
-        self.anchor, self.begin, self.doc = least[head], at[head], doc[head]
+        # minima crowd near 0, and both the bit map and the shards go by the first bits, so they are mixed again
+        self.anchor, self.begin, self.doc = mix(least[head] ^ _ANCHOR), at[head], doc[head]
         self.count = np.diff(np.append(head, len(at)))  # windows of the run
 
 
@@ -224,13 +226,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_pla
     counts = stored(counts.filter("n > 1"), "anchors")
     repeated = bit_map(counts.select("anchor"), counts.count())
     often = counts.filter(F.col("n") > hot_places).select("anchor")
-    hot = bit_map(often, often.count())
+    n_hot = often.count()
+    hot = bit_map(often, n_hot)
 
     parts = docs.select("doc_id", "mark", "text").mapInArrow(lambda b: _passages(b, window, anchor, repeated.value, hot.value), "anchor long, doc_id long, mark long, start int, words binary")
     order = [F.col("anchor"), F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("start")]
     found = parts.repartition("anchor").sortWithinPartitions(*order).mapInArrow(lambda b: _shards(b, window), "doc_id long, mark long, start int, stop int")
 
-    return found.unionByName(_hot_repeats(docs, window, anchor, hot))
+    return found.unionByName(_hot_repeats(docs, window, anchor, hot)) if n_hot else found
 
 
 def _hot_repeats(docs: DataFrame, window: int, anchor: int, hot) -> DataFrame:
