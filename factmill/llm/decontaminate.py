@@ -3,8 +3,9 @@
 Each task turns its documents, a bounded shard at a time, into a sparse suffix array: the places whose first words start
 some benchmark suffix, sorted by the words that follow. All benchmark suffixes are then binary-searched in it, word by
 word, which gives the range of places that agree in a whole window, and so the verbatim matches and their locations.
-Nothing is shuffled. The benchmark is sent to the tasks in blocks of bounded size; with several blocks the documents are
-read once for each, and what the blocks find is joined.
+Nothing is shuffled. The benchmark is sent to the tasks in blocks of bounded size, one at a time; with several blocks the
+documents are read once for each, and what the blocks find is joined. A block takes items until it holds ``BLOCK_WORDS``
+words; longer items are cut into parts that share nine words, so no window is lost, and their matches end at the cuts.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased; two words are one if their 64-bit hashes
 agree. A null or empty text has no words and matches nothing. Items without words are left out; items with a null
@@ -20,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, flat, grams, hashes, pieces, spans, stored
+from .common import ALNUM, LOWER, carried, flat, grams, hashes, mix, pieces, spans, stored
 
 SHARD_BYTES = 4 << 20
-#: Benchmark text that is sent to the tasks at once.
-BLOCK_BYTES = 16 << 20
+#: Words of the benchmark that are sent to the tasks at once, at most. A word takes up to 48 bytes in all arrays of a
+#: block, so a broadcast is of 25 MB at most.
+BLOCK_WORDS = 1 << 19
+#: Benchmark text of a partition that the driver reads at once, about.
+PART_BYTES = 16 << 20
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,31 +40,35 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Suffixes:
-    """The windows of a block of benchmark items: distinct, with the items and places that each stands for."""
+    """The windows of a block of benchmark items: distinct, with the items and places that each stands for.
 
-    def __init__(self, ids: list, texts: list[str], window: int):
-        words, first = words_of(pa.array(texts, pa.string()))
-        sizes = np.diff(first)
+    ``words`` are the hashes of all words of the items, one item after the other; ``sizes`` tells how many each has and
+    ``shift`` how many of its words lie before (an item may come in parts). Windows are not spelled out: ``start`` is
+    where a distinct one stands first in ``words``. Two windows are one if their 64-bit hashes agree.
+    """
+
+    def __init__(self, ids: list, words: np.ndarray, sizes: np.ndarray, shift: np.ndarray, window: int):
+        first = np.cumsum(sizes) - sizes
         span = np.minimum(sizes, window)
         counts = np.where(sizes > 0, sizes - span + 1, 0)
-        item = np.repeat(np.arange(len(ids)), counts)
-        place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = first[:-1][item] + place
-        rows = np.zeros((len(at), window + 1), np.uint64)
-        rows[:, window] = span[item]
-        for k in range(window):
-            held = k < span[item]
-            rows[held, k] = words[at[held] + k]
-        self.rows, back = np.unique(rows, axis=0, return_inverse=True)
-        back = back.reshape(-1)
-        order = np.argsort(back, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.first = np.searchsorted(back[order], np.arange(len(self.rows) + 1))
+        item = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        place = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = first[item] + place
+        key = np.empty(len(at), np.uint64)
+        for n in np.unique(span[span > 0]).tolist():
+            own = span[item] == n
+            key[own] = mix(grams(words, n)[at[own]] ^ np.uint64(n))
+        _, new, back = np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(back.reshape(-1), kind="stable")
+        self.words, self.start, self.span = words, at[new].astype(np.int32), span[item[new]].astype(np.int32)
+        self.item, self.place = item[order], (place + shift[item])[order]
+        self.first = np.searchsorted(back.reshape(-1)[order], np.arange(len(new) + 1)).astype(np.int32)
         self.window, self.ids = window, ids
-        self.span = self.rows[:, window].astype(np.int64)
-        self.ones = np.unique(self.rows[self.span == 1, 0])
-        more = self.rows[self.span > 1]
-        self.twos = np.unique(np.array([grams(x, 2)[0] for x in more[:, :2]], np.uint64))
+        self.ones = np.unique(words[self.start[self.span == 1]])
+        self.twos = np.unique(grams(words, 2)[self.start[self.span > 1]])
+
+    def __len__(self) -> int:
+        return len(self.start)
 
     def leads(self, words: np.ndarray) -> np.ndarray:
         """Places at which some suffix may start."""
@@ -101,13 +109,13 @@ class SuffixArray:
 
     def search(self, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a window of the benchmark and a place of the shard that has it, verbatim."""
-        n = len(suffixes.rows)
+        n = len(suffixes)
         if not n or not len(self.at):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         live, low, high = np.arange(n), np.zeros(n, np.int64), np.full(n, len(self.at))
         done = []
         for k in range(suffixes.window):
-            value = suffixes.rows[live, k]
+            value = suffixes.words[suffixes.start[live] + k]
             low, high = _bisect(self.table[k], low, high, value, False), _bisect(self.table[k], low, high, value, True)
             ended = suffixes.span[live] == k + 1
             found = low < high
@@ -126,11 +134,27 @@ def _searched(batches: Iterator[pa.RecordBatch], suffixes: Suffixes):
         yield batch, first, which, at, np.searchsorted(first, at, "right") - 1
 
 
+def _runs(first: np.ndarray, which: np.ndarray, at: np.ndarray, doc: np.ndarray, suffixes: Suffixes) -> tuple[np.ndarray, ...]:
+    """Longest verbatim matches (document, item, places in either, words): windows that follow one another in both."""
+    sizes = suffixes.first[which + 1] - suffixes.first[which]
+    slot = np.repeat(suffixes.first[which], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    item, place, at, doc = suffixes.item[slot], suffixes.place[slot], np.repeat(at, sizes), np.repeat(doc, sizes)
+    span = np.repeat(suffixes.span[which], sizes)
+    order = np.lexsort((at, at - place, item, doc))
+    item, place, at, doc, span = (x[order] for x in (item, place, at, doc, span))
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(at))[: len(head)] - 1
+    return doc[head], item[head], at[head] - first[doc[head]], place[head], at[tail] - at[head] + span[head]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], suffixes: Suffixes, rest: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """For each document its words, the intervals that windows cover and the items that they are from."""
+    """For each document its words, the intervals that windows cover, the items that they are from and its longest match."""
     for batch, first, which, at, doc in _searched(batches, suffixes):
         n = batch.num_rows
         starts, ends, items = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
+        longest: list[tuple] = [(0, None)] * n
         if len(at):
             change = np.zeros(first[-1] + 1, np.int64)
             np.add.at(change, at, 1)
@@ -144,83 +168,117 @@ def _scan(batches: Iterator[pa.RecordBatch], suffixes: Suffixes, rest: pa.Schema
             for a, b, d in zip(begin.tolist(), stop.tolist(), (np.searchsorted(first, begin, "right") - 1).tolist(), strict=True):
                 starts[d].append(a - int(first[d]))
                 ends[d].append(b - int(first[d]))
-            pairs = np.unique(np.stack([doc, which]), axis=1)
-            for d, w in pairs.T.tolist():
-                items[d] += suffixes.item[suffixes.first[w] : suffixes.first[w + 1]].tolist()
+            for d, i, own, _, size in zip(*(x.tolist() for x in _runs(first, which, at, doc, suffixes)), strict=True):
+                items[d].append(i)
+                longest[d] = max(longest[d], (size, -own), key=lambda x: (x[0], x[1] if x[1] is not None else 0))
         named = [sorted({str(suffixes.ids[i]) for i in set(x) if suffixes.ids[i] is not None}) for x in items]
         columns = [batch.column(f.name) for f in rest] + [
             pa.array(np.diff(first)),
             pa.array(starts, pa.list_(pa.int64())),
             pa.array(ends, pa.list_(pa.int64())),
             pa.array(named, pa.list_(pa.string())),
+            pa.array([x[0] for x in longest], pa.int64()),
+            pa.array([None if x[1] is None else -x[1] for x in longest], pa.int64()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, [*rest.names, "__words", "__starts", "__ends", "__items"])
+        yield pa.RecordBatch.from_arrays(columns, [*rest.names, *_FOUND])
 
 
 def _matches(batches: Iterator[pa.RecordBatch], suffixes: Suffixes) -> Iterator[pa.RecordBatch]:
-    """Longest verbatim matches: windows that follow one another in both texts are one match."""
     for batch, first, which, at, doc in _searched(batches, suffixes):
-        sizes = suffixes.first[which + 1] - suffixes.first[which]
-        slot = np.repeat(suffixes.first[which], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        item, place, at, doc = suffixes.item[slot], suffixes.place[slot], np.repeat(at, sizes), np.repeat(doc, sizes)
-        span = np.repeat(suffixes.span[which], sizes)
-        order = np.lexsort((at, at - place, item, doc))
-        item, place, at, doc, span = (x[order] for x in (item, place, at, doc, span))
-        new = np.ones(len(at), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] != at[:-1] + 1)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(at))[: len(head)] - 1
-        ids = batch.column("doc_id").to_pylist()
+        doc, item, own, place, size = _runs(first, which, at, doc, suffixes)
         yield pa.RecordBatch.from_pydict({
-            "doc_id": pa.array([ids[d] for d in doc[head]], pa.int64()),
-            "item_id": pa.array([suffixes.ids[i] for i in item[head]], pa.int64()),
-            "doc_word": pa.array(at[head] - first[doc[head]]),
-            "item_word": pa.array(place[head].astype(np.int64)),
-            "n_words": pa.array((at[tail] - at[head] + span[head]).astype(np.int64)),
+            "doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)),
+            "item_id": pa.array([suffixes.ids[i] for i in item.tolist()], pa.string()),
+            "doc_word": pa.array(own.astype(np.int64)),
+            "item_word": pa.array(place.astype(np.int64)),
+            "n_words": pa.array(size.astype(np.int64)),
         })
 
 
-def _blocks(benchmark: DataFrame, window: int, most: int) -> list:
-    """Broadcast suffixes of the benchmark, at most about ``most`` bytes of its text each."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // most))
-    for block in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Suffixes([r.item_id for r in rows], [r.text for r in rows], window))
-
-
-def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``__words``, ``__starts``, ``__ends`` (intervals of hit words) and ``__items`` (their item_ids)."""
+def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator:
+    """Broadcast suffixes of the benchmark, at most ``most`` words each; the driver holds a block and a partition's items.
+
+    Items that agree in id and text are one.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    items = items.distinct().coalesce(1 + size // PART_BYTES)
+    ids, parts, sizes, shift, room = [], [], [], [], most
+
+    def block():
+        made = Suffixes(list(ids), np.concatenate([*parts, np.empty(0, np.uint64)]), np.array(sizes, np.int64), np.array(shift, np.int64), window)
+        for x in (ids, parts, sizes, shift):
+            x.clear()
+        return benchmark.sparkSession.sparkContext.broadcast(made)
+
+    for row in items.toLocalIterator():
+        words, _ = words_of(pa.array([row.text], pa.string()))
+        begin = 0
+        while begin < len(words):
+            if room < min(window, len(words) - begin):
+                yield block()
+                room = most
+            part = words[begin : begin + room]
+            ids.append(row.item_id)
+            parts.append(part)
+            sizes.append(len(part))
+            shift.append(begin)
+            room -= len(part)
+            if begin + len(part) == len(words):
+                break
+            begin += len(part) - window + 1
+    yield block()
+
+
+_FOUND = {"__words": "bigint", "__starts": "array<bigint>", "__ends": "array<bigint>", "__items": "array<string>", "__longest": "bigint", "__at": "bigint"}
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` (columns named by ``carried``) with what its texts have of the benchmark.
+
+    ``__words``; ``__starts`` and ``__ends`` (intervals of hit words) and ``__items`` (their item_ids), of which any may
+    repeat; ``__longest`` (words of the longest verbatim match, 0 if there is none) and ``__at`` (the first word of the
+    first such match).
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("__words", "bigint"), ("__starts", "array<bigint>"), ("__ends", "array<bigint>"), ("__items", "array<string>")))).schema
+    schema = docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in _FOUND.items())).schema
     rest = to_arrow_schema(docs.schema)
 
     def scan(df, suffixes):
         return df.mapInArrow(lambda b: _scan(b, suffixes.value, rest), schema)
 
-    first, *more = _blocks(benchmark, window, block_bytes)
-    found = scan(docs, first)
-    if not more:
-        return found
+    blocks = _blocks(benchmark, window, block_words)
+    found = scan(docs, next(blocks))
     # beyond one block: what the others find joins the rows by doc_id and a hash of the text
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    others = [stored(scan(docs, b).filter(F.size("__starts") > 0).select("doc_id", mark.alias("mark"), "__starts", "__ends", "__items"), "hits") for b in more]
+    best = F.struct(F.col("__longest").alias("n"), (-F.col("__at")).alias("at"))
+    others = []
+    for block in blocks:
+        hits = scan(docs, block).filter(F.size("__starts") > 0)
+        others.append(stored(hits.select(F.col("doc_id").alias("__id"), mark.alias("__mark"), "__starts", "__ends", "__items", best.alias("__best")), "hits"))
+        block.destroy()
+    if not others:
+        return found
     union = others[0]
     for x in others[1:]:
         union = union.unionByName(x)
-    union = union.distinct().groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(*(F.flatten(F.collect_list(c)).alias(f"{c}_more") for c in ("__starts", "__ends", "__items")))
+    union = union.distinct().groupBy("__id", "__mark").agg(*(F.flatten(F.collect_list(c)).alias(f"{c}_more") for c in ("__starts", "__ends", "__items")), F.max("__best").alias("__more"))
     joined = found.withColumn("__own", mark).join(union, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
-    merged = (F.concat(c, F.coalesce(f"{c}_more", F.array().cast(t))).alias(c) for c, t in (("__starts", "array<bigint>"), ("__ends", "array<bigint>"), ("__items", "array<string>")))
-    return joined.select(*docs.columns, "__words", *merged)
+    merged = (F.concat(c, F.coalesce(f"{c}_more", F.array().cast(_FOUND[c]))).alias(c) for c in ("__starts", "__ends", "__items"))
+    best = F.greatest(F.when(F.col("__longest") > 0, best), F.col("__more"))
+    return joined.select(*docs.columns, "__words", *merged, F.coalesce(best["n"], F.lit(0)).alias("__longest"), (-best["at"]).alias("__at"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, n_words): every longest verbatim match of a window or more, where it is."""
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, doc_word, item_word, n_words): every longest verbatim match of a window or more, where it is.
+
+    Rows that agree in doc_id stand each by itself; item_id is a string. Parts of items that were cut (see above) share
+    windows with none, so a match that crosses a cut comes as two, which overlap.
+    """
     found = None
-    for block in _blocks(benchmark, window, block_bytes):
-        part = docs.select("doc_id", "text").mapInArrow(lambda b, s=block: _matches(b, s.value), "doc_id long, item_id long, doc_word long, item_word long, n_words long")
+    for block in _blocks(benchmark, window, block_words):
+        part = docs.select("doc_id", "text").mapInArrow(lambda b, s=block: _matches(b, s.value), "doc_id long, item_id string, doc_word long, item_word long, n_words long")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -239,12 +297,16 @@ def hit_words() -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without a verbatim benchmark window, with the columns of ``docs``."""
-    found = search(docs, benchmark, window)
-    return found.filter(F.size("__starts") == 0).select(*docs.columns)
+    inner, back = carried(docs, "doc_id", "text")
+    return search(inner, benchmark, window).filter(F.size("__starts") == 0).select(*back)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at) of every document.
+
+    ``longest``: words of the longest verbatim match with an item (0 if there is none); ``longest_at``: words before the
+    first such match (-1 if there is none). Words of an item of more than BLOCK_WORDS words count by its parts.
+    """
     found = search(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window)
     items = F.array_sort(F.array_distinct("__items"))
     n = hit_words()
@@ -255,6 +317,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (n > 0).alias("contaminated"),
+        F.col("__longest").alias("longest"),
+        F.coalesce("__at", F.lit(-1).cast("long")).alias("longest_at"),
     )
 
 
@@ -263,16 +327,20 @@ _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
 
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-q AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS s
-    FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+i AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark),
+q AS (SELECT i, item_id, n, p AS ip, array_to_string(w[p : p + n - 1], ' ') AS s
+    FROM (SELECT i, item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
 p AS (SELECT r, n, p, array_to_string(w[p : p + n - 1], ' ') AS s
     FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n)),
-h AS (SELECT r, p, n, item_id FROM p JOIN q USING (n, s)),
+h AS (SELECT r, p, n, i, item_id, ip FROM p JOIN q USING (n, s)),
 c AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS x FROM h) GROUP BY r),
 t AS (SELECT r, count(DISTINCT item_id) AS n_items,
-    sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256 FROM h GROUP BY r)
+    sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256 FROM h GROUP BY r),
+m AS (SELECT r, min(p) - 1 AS longest_at, count(*) + any_value(n) - 1 AS longest
+    FROM (SELECT r, i, p, n, ip, p - row_number() OVER (PARTITION BY r, i, p - ip ORDER BY p) AS run FROM h) GROUP BY r, i, p - ip, run),
+b AS (SELECT r, longest, longest_at FROM m QUALIFY row_number() OVER (PARTITION BY r ORDER BY longest DESC, longest_at) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-    coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+    coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+    coalesce(longest, 0) AS longest, coalesce(longest_at, -1) AS longest_at
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r) LEFT JOIN b USING (r)
 """

@@ -2,6 +2,8 @@
 
 import random
 
+#: Names that operators work with.
+INNER = ["__id", "__own", "__w", "__words", "__hot", "__kept", "__mark", "__hash", "__in0", "__x0", "__group", "node", "label"]
 ODD = [None, "", " ", "\n\n", "a", "A  b", "x\ty\nz", "é漢 ß", "9 9 9", "word " * 3000, "\x0b\x0c"]
 
 
@@ -25,8 +27,9 @@ def texts(seed, n=40, vocabulary=30, longest=80):
 
 def table(spark, rows, extra=True):
     """(doc_id, text) rows, repeated ones and null ids among them, with columns whose names clash with those of results."""
-    made = [(i, t, "en", "s", 0, -1, "k", True) for i, t in rows]
-    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept_sha256 string, kept boolean")
+    made = [(i, t, "en", "s", 0, -1, "k", True, *range(len(INNER))) for i, t in rows]
+    inner = ", ".join(f"{c} long" for c in INNER)
+    return spark.createDataFrame(made, f"doc_id long, text string, lang string, source string, n_chars long, n_words long, kept_sha256 string, kept boolean, {inner}")
 
 
 def odd_table(spark, seed=1):

@@ -123,7 +123,7 @@ def _alnum(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
 
 
-@pytest.mark.parametrize("block", [1 << 24, 60])
+@pytest.mark.parametrize("block", [1 << 19, 12])
 def test_decontamination(spark, block):
     held = [(r.doc_id, r.text) for r in odd_table(spark).collect()]
     items = [(1, "w1 w2"), (2, None), (30, " ".join(held[5][1].split()[:25]) if held[5][1] else "q"), (4, "W3"), (5, "w1 w2"), (None, "w5 w6 w7"), (7, "é漢")]
@@ -144,7 +144,7 @@ def test_decontamination(spark, block):
         named = sorted(str(n) for n in named if n is not None)
         want.append((i, len(w), len(hit), len(named), sha(",".join(named)), bool(hit)))
     docs = table(spark, held)
-    found = decontaminate.search(docs.select("doc_id", "text"), benchmark, block_bytes=block)
+    found = decontaminate.search(docs.select("doc_id", "text"), benchmark, block_words=block)
     names = F.array_sort(F.array_distinct("__items"))
     found = found.select("doc_id", F.col("__words").alias("n"), decontaminate.hit_words().alias("hit"), F.size(names).alias("items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("sha"))
     assert rows(found.withColumn("bad", F.col("hit") > 0), "doc_id", "n", "hit", "items", "sha", "bad") == sorted(want, key=repr)
@@ -157,7 +157,11 @@ def test_matches_are_longest(spark):
     words = [f"v{i}" for i in range(30)]
     docs = table(spark, [(1, "a b " + " ".join(words[3:28]) + " c"), (2, " ".join(words[:9]))])
     benchmark = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
-    assert rows(decontaminate.matches(docs, benchmark), "doc_id", "item_id", "doc_word", "item_word", "n_words") == [(1, 9, 2, 3, 25)]
+    assert rows(decontaminate.matches(docs, benchmark), "doc_id", "item_id", "doc_word", "item_word", "n_words") == [(1, "9", 2, 3, 25)]
+    got = decontaminate.contamination(docs, benchmark)
+    assert rows(got, "doc_id", "longest", "longest_at") == [(1, 25, 2), (2, 0, -1)]
+    named = benchmark.select(F.concat(F.lit("item-"), "item_id").alias("item_id"), "text")  # ids may be strings
+    assert rows(decontaminate.contamination(docs, named), "doc_id", "n_items", "items_sha256")[0] == (1, 1, sha("item-9"))
 
 
 def _shingles(text, k):
