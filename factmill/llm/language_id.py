@@ -10,8 +10,9 @@ marginal weight, each word counting by its bytes; its share is the score.
 The field is trained in numpy, by Adagrad on the exact gradient of the conditional likelihood, on a bounded sample of
 the rows with a language whose crc32(doc_id) modulo 5 is not 0: of each language rows with the smallest hashes of doc_id,
 up to an equal share of ``SAMPLE_BYTES``; a text that does not fit is passed over, and where none fits the beginning
-of the first one is taken. Languages beyond the ``MOST_LANGUAGES`` most frequent are not learned. Labels are those of the documents; so that transitions are learned, some of
-the passages take the second half of another one.
+of the first one is taken. Every language is learned; with more than ``WIDE`` of them features share fewer buckets, so
+that the weights stay of one size, and with more than ``SAMPLE_ROWS`` of them each is learned from one row. Labels are
+those of the documents; so that transitions are learned, some of the passages take the second half of another one.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0. With no row to learn from every text is
 ``und``. Rows with one doc_id are judged each by itself.
@@ -32,8 +33,7 @@ from .common import CHUNK_BYTES, LOWER, byte_class, constants, flat, hashes, hel
 
 SAMPLE_BYTES = 3 << 20
 SAMPLE_ROWS = 2000
-MOST_LANGUAGES = 256
-BITS = 17
+BITS, WIDE = 17, 64
 CHAIN = 64
 EPOCHS = 6
 BATCH = 64
@@ -140,6 +140,7 @@ class Field:
 
     @classmethod
     def train(cls, texts: list[str], langs: list[str], bits: int = BITS, epochs: int = EPOCHS, seed: int = 5) -> Field:
+        bits = max(8, bits - max(0, (len(set(langs)) - 1) // WIDE).bit_length())
         field = cls(sorted(set(langs)), bits)
         if not texts:
             return field
@@ -208,13 +209,14 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -
     needed, so the rows that reach the driver are bounded.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
     spark, each = docs.sparkSession, max(1, rows // len(counts))
     shares = spark.createDataFrame([(k, min(1.0, 3 * each / n)) for k, n in counts.items()], "lang string, __share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    picked = known.select("doc_id", "lang", F.octet_length("text").alias("__size"), place.alias("__place")).join(F.broadcast(shares), "lang").filter("__place < __share").collect()
+    picked = known.select("doc_id", "lang", F.octet_length("text").alias("__size"), place.alias("__place")).join(F.broadcast(shares), "lang").filter("__place < __share")
+    picked = picked.groupBy("doc_id", "lang", "__place").agg(F.min("__size").alias("__size")).collect()  # an id may be in many rows
     used: dict[str, int] = defaultdict(int)
     taken: dict[str, int] = defaultdict(int)
     ids, share = {}, most // len(counts)
@@ -230,7 +232,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -
             ids[row.doc_id, row.lang, row["__size"]] = share // 4  # characters of at most 4 bytes
     wanted = spark.createDataFrame([(*k, n) for k, n in ids.items()], "doc_id long, lang string, __size int, __most int")
     texts = docs.select("doc_id", "text", "lang").withColumn("__size", F.octet_length("text"))
-    found = texts.join(F.broadcast(wanted), ["doc_id", "lang", "__size"]).select("doc_id", F.expr("substring(text, 1, __most)").alias("text"), "lang").collect()  # at most ``rows`` ids
+    found = texts.join(F.broadcast(wanted), ["doc_id", "lang", "__size"]).groupBy("doc_id", "lang", "__most").agg(F.min("text").alias("text"))
+    found = found.select("doc_id", F.expr("substring(text, 1, __most)").alias("text"), "lang").collect()
     found.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in found], [r.lang for r in found]
 

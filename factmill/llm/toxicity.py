@@ -195,7 +195,7 @@ class _Trainer:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """Texts and labels to learn from: a bounded number of rows and bytes, the smallest hashes of doc_id first."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__label"))
-    picked = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("__size")).filter(F.col("__size") <= most).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__size").limit(rows).collect()
+    picked = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("__size")).filter(F.col("__size") <= most).join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "__size").limit(rows).collect()
     used, ids, sizes = 0, {}, set()
     for row in picked:  # what does not fit is passed over
         if used + row["__size"] <= most:
@@ -207,7 +207,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most: in
     spark = docs.sparkSession
     wanted = spark.createDataFrame(sorted(sizes), "doc_id long, __size int")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__size", F.octet_length("text"))
-    found = texts.join(F.broadcast(wanted), ["doc_id", "__size"]).select("doc_id", "text").collect()  # at most ``rows`` ids
+    # one text for each pair of an id and a size, however often a doc_id repeats, so at most ``rows`` of them
+    found = texts.join(F.broadcast(wanted), ["doc_id", "__size"]).groupBy("doc_id", "__size").agg(F.min("text").alias("text")).collect()
     found.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in found], [ids[r.doc_id] for r in found]
 
