@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, facts, graph, insights, merge
+from ..operators.resolve import virtual_calls
 from ..sources.cpp import CppConfig
 from ..sources.store import Store
 from . import runs
@@ -28,7 +29,7 @@ class Workspace:
         self.store = Store(spark, f"{self.root}/workspace")
 
     def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
-        self.store.commit(**{name: self.store.read(name, schema).unionByName(self.spark.createDataFrame(rows, schema)).coalesce(1)})
+        self.store.append(**{name: self.spark.createDataFrame(rows, schema).coalesce(1)})
 
     def facts(self, project: str) -> Store:
         return Store(self.spark, f"{self.root}/projects/{project}")
@@ -61,11 +62,18 @@ class Workspace:
         self.configure(project, archived=True)
 
     def delete(self, project: str) -> None:
-        """Mark as deleted; its audit trail goes, and its facts stay until the folder is dropped."""
+        """Mark as deleted; its audit trail goes, and its facts stay until ``purge``."""
         row, now = self._project(project), self.clock()
         self._append("projects", PROJECTS, [(row.id, row.name, row.config, row.created_at, now, now)])
         self.store.commit(audits=self.store.read("audits", AUDITS).filter(F.col("project_id") != project))
 
+    def purge(self, project: str) -> None:
+        """Drop the facts and documents of a deleted project for good."""
+        if not self.projects().filter(F.col("id") == project).isEmpty():
+            raise ValueError(f"{project} is not deleted")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/projects/{project}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     # --- runs ---
 
     def run(self, project: str, files: DataFrame, stages: tuple[str, ...] = runs.STAGES, forced: bool = False, request: str | None = None) -> str:
@@ -73,7 +81,7 @@ class Workspace:
         row, now = self._project(project), self.clock()
         config = json.loads(row.config)
         request = request or uuid.uuid4().hex
-        before = self.runs(project).filter(F.col("request") == request).first()
+        before = self.store.read("runs", RUNS).filter((F.col("project_id") == project) & (F.col("request") == request)).first()
         if before is not None:
             return before.id
         ident = uuid.uuid4().hex[:12]
@@ -101,7 +109,9 @@ class Workspace:
         return facts.search_entities(rows, kind, text, limit, offset).drop("updated_at")
 
     def relations(self, project: str, source: str | None = None, kind: str | None = None, external: str | None = None) -> DataFrame:
-        return facts.query_relations(self.facts(project).read("relations"), source, kind, external)
+        """Relations that pass the filters, with ``virtual`` of calls."""
+        held = self.facts(project)
+        return virtual_calls(facts.query_relations(held.read("relations"), source, kind, external), held.read("entities"))
 
     def graph(self, project: str, start: str | None = None, depth: int = 2) -> tuple[DataFrame, DataFrame]:
         held = self.facts(project)
@@ -126,11 +136,15 @@ class Workspace:
         return ["classDiagram", *(r.line for r in rows.collect())]
 
     def generate(self, project: str) -> str:
-        """The document of the last version; written as text under the project's exports, whose path this returns."""
+        """The document of the last version; written as text under the project's exports, whose path this returns.
+
+        The lines are in order over the files of that folder, in the order of their names.
+        """
         held, ident = self.facts(project), uuid.uuid4().hex[:12]
         version = held.versions()[-1]
         path = f"{self.root}/projects/{project}/exports/{ident}"
-        runs.report(runs.Project(project), version, held.read("entities"), held.read("relations")).write.text(path)
+        report = runs.report(runs.Project(project), version, held.read("entities"), held.read("relations"))
+        report.orderBy("section", "place", "id").select("content").write.text(path)
         return path
 
     # --- insights ---

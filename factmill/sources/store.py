@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Store:
-    """Tables by name under ``root``, partitioned by project where they have one.
+    """Tables by name under ``root``; a table is one or several folders of Parquet files.
 
     A commit first writes the tables, then a pointer to them, and readers follow the newest pointer: a commit that fails
-    halfway is never seen. Older versions stay until ``vacuum``, so a run's facts can be read again.
+    halfway is never seen. Older versions stay until ``vacuum``, so a run's facts can be read again. Of two commits at
+    once one fails, as files are created only where there are none; on object stores that do not promise this, let one
+    writer commit at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -25,7 +27,7 @@ class Store:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if not s.getPath().getName().startswith("."))
 
-    def _tables(self, version: str | None = None) -> dict[str, str]:
+    def _tables(self, version: str | None = None) -> dict[str, list[str]]:
         names = self._pointers()
         if not names:
             return {}
@@ -35,32 +37,41 @@ class Store:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return dict(line.split("\t") for line in text.splitlines() if line)
+        return {name: paths for name, *paths in (line.split("\t") for line in text.splitlines() if line)}
 
     def commit(self, **tables: DataFrame) -> str:
         """Write the given tables; those not given stay as they are. Returns the version."""
+        return self._point(self._tables() | {name: [self._written(name, df)] for name, df in tables.items()})
+
+    def append(self, **tables: DataFrame) -> str:
+        """Add rows to the given tables, as files of their own: what is there already is not read or written."""
         held = self._tables()
-        for name, df in tables.items():
-            path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.write.option("compression", "zstd").parquet(path)
-            held[name] = path
-        version = f"{len(self._pointers()) + 1:08d}"
+        return self._point(held | {name: [*held.get(name, ()), self._written(name, df)] for name, df in tables.items()})
+
+    def _written(self, name: str, df: DataFrame) -> str:
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return path
+
+    def _point(self, held: dict[str, list[str]]) -> str:
+        # one above the newest, as vacuum may have dropped older ones
+        version = f"{int(max(self._pointers(), default='0')) + 1:08d}"
         target = self._path(f"{self.root}/_commits/{version}")
         stream = self._fs.create(target, False)  # fails if another commit took the number
         try:
-            stream.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(held.items())).encode()))
+            stream.write(bytearray("".join("\t".join([k, *v]) + "\n" for k, v in sorted(held.items())).encode()))
         finally:
             stream.close()
         return version
 
     def read(self, name: str, schema: str | None = None, version: str | None = None) -> DataFrame:
         """A table as of a version, by default the last; an empty one of ``schema`` if there is none yet."""
-        path = self._tables(version).get(name)
-        if path is None:
+        paths = self._tables(version).get(name)
+        if paths is None:
             if schema is None:
                 raise KeyError(name)
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(path)
+        return self.spark.read.parquet(*paths)
 
     def versions(self) -> list[str]:
         return self._pointers()
@@ -68,9 +79,9 @@ class Store:
     def vacuum(self, keep: int = 1) -> None:
         """Drop all but the last ``keep`` versions and the data that only they name."""
         names = self._pointers()
-        live = {p for n in names[-keep:] for p in self._tables(n).values()}
+        live = {p for n in names[-keep:] for paths in self._tables(n).values() for p in paths}
         for name in names[:-keep]:
-            for path in self._tables(name).values():
+            for path in {p for paths in self._tables(name).values() for p in paths}:
                 if path not in live:
                     self._fs.delete(self._path(path), True)
             self._fs.delete(self._path(f"{self.root}/_commits/{name}"), False)

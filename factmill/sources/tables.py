@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,13 +10,17 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the folder of spark.checkpoint.dir and read it back.
 
-    A folder of our own is set only where the session names none. (checkpoint() itself would compute its rows twice.)
+    A folder of this machine is set only in local mode, where the session names none. (checkpoint() itself would compute its rows twice.)
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not context.isLocal():
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factmill-"))
         root = context.getCheckpointDir().get()
     path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factmill.operators import enrich
-from factmill.plans.workspace import Workspace
+from factmill.plans.workspace import RUNS, Workspace
 from factmill.sources import ddl
 from factmill.sources.files import imported
 from tests.test_sources import FILES
@@ -20,6 +20,9 @@ def test_a_project_from_import_to_review(spark, tmp_path):
     first = work.run(project, files, request="once")
     assert work.run(project, files, request="once") == first and work.runs(project).first().status == "succeeded"
     assert [r.type for r in work.events(first).collect()][-1] == "run_completed"
+    later = [(f"r{n}", project, f"other{n}", "succeeded", work.clock(), work.clock(), work.clock()) for n in range(60)]
+    work._append("runs", RUNS, later)  # an old request is known however many came after it
+    assert work.run(project, files, request="once") == first
     assert {r.name for r in work.entities(project, "Class", "BOO").collect()} == {"Book"}
     assert work.relations(project, kind="THROWS", external="illegal").count() == 1
     assert work.graph(project, "java:shop.Book", 1)[0].count() > 5
@@ -27,7 +30,8 @@ def test_a_project_from_import_to_review(spark, tmp_path):
     with pytest.raises(KeyError):
         work.file_content(project, "../secret")
     assert "classDiagram" in work.diagram(project) and any("-->" in x for x in work.diagram(project, "call"))
-    assert "## API" in "\n".join(r.value for r in spark.read.text(work.generate(project)).collect())
+    text = "\n".join(r.value for r in spark.read.text(work.generate(project)).collect())
+    assert text.index(" types, ") < text.index("| type | name | doc |") < text.index("## API") < text.index("| field | type |")
     pending = work.insights(project, "pending")
     one = pending.orderBy("id").first().id
     work.review(project, one, "approve", "me")
@@ -41,6 +45,8 @@ def test_a_project_from_import_to_review(spark, tmp_path):
         work.run(project, files)
     work.delete(project)
     assert work.projects().isEmpty()
+    work.purge(project)
+    assert work.facts(project).versions() == []
 
 
 def _ask(prompt, config):
