@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 PAGE = 1000
 RUN_PAGE = 200
 
@@ -87,9 +89,18 @@ def file_lines(lines: DataFrame, key: str, number: str, text: str, first: int, l
 
 
 def file_index(entities: DataFrame) -> DataFrame:
-    """(file, n, ids): the ids of each file in order of place, comma-joined."""
-    rows = F.array_sort(F.collect_list(F.struct("start_line", "id")))
-    return entities.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(rows, lambda x: x["id"]), ",").alias("ids"))
+    """(file, place, id): the entities of each file, numbered from 1 by line and id.
+
+    Rows are dealt by ranges, so that a file of any size is numbered by many tasks: within a range, and then from the
+    counts of the ranges before.
+    """
+    ranges = cut(entities.select("file", "start_line", "id").repartitionByRange("file", "start_line", "id").withColumn("__range", F.spark_partition_id()))
+    sizes = ranges.groupBy("file", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("file").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("file", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("file", "__range").orderBy("start_line", "id"))
+    found = ranges.withColumn("__rank", rank).join(before, ["__range", "file"])
+    return found.select("file", (F.col("__before") + F.col("__rank")).alias("place"), "id")
 
 
 def symbol_table(entities: DataFrame) -> DataFrame:

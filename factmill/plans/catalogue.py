@@ -80,7 +80,7 @@ def module_fold(spark, d):
 
 @query("""WITH RECURSIVE m AS (SELECT 'm' || p_partkey AS id, p_partkey AS owner, p_brand || p_size AS key FROM part),
 p AS (SELECT p_partkey AS child, p_partkey // 2 AS parent, 0 AS rank FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey, p_partkey // 3, 1 FROM part WHERE p_partkey > 3),
-w AS (SELECT id, key, owner AS at, '' AS path, 0 AS n FROM m UNION ALL SELECT w.id, w.key, p.parent, w.path || lpad(CAST(p.rank AS VARCHAR), 4, '0'), n + 1 FROM w JOIN p ON p.child = w.at WHERE n < 5),
+w AS (SELECT id, key, owner AS at, '' AS path, 0 AS n FROM m UNION ALL SELECT w.id, w.key, p.parent, w.path || lpad(CAST(p.rank AS VARCHAR), 4, '0'), n + 1 FROM w JOIN p ON p.child = w.at),
 h AS (SELECT w.id, w.path, w.n, m.id AS target_id, row_number() OVER (PARTITION BY w.id ORDER BY w.n, w.path, m.id) AS k FROM w JOIN m ON m.owner = w.at AND m.key = w.key WHERE w.n > 0)
 SELECT id, target_id FROM h WHERE k = 1""")
 def first_overridden(spark, d):
@@ -88,7 +88,7 @@ def first_overridden(spark, d):
     methods = part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("owner"), F.concat("p_brand", F.col("p_size").cast("string")).alias("key"))
     one = part.filter("p_partkey > 1").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 2).alias("parent"), F.lit(0).alias("rank"))
     two = part.filter("p_partkey > 3").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent"), F.lit(1).alias("rank"))
-    return graph.first_overridden(methods, one.unionByName(two), 5)
+    return graph.first_overridden(methods, one.unionByName(two))
 
 
 # --- facts -----------------------------------------------------------------------------------------------------------
@@ -142,9 +142,9 @@ def file_slice(spark, d):
     return facts.file_lines(star.table(spark, d, "conversations"), "conv_id", "turn", "text", 2, 4)
 
 
-@query(f"WITH {E} SELECT file, count(*) AS n, string_agg(id, ',' ORDER BY start_line, id) AS ids FROM e WHERE type <> 'Method' GROUP BY file")
+@query(f"WITH {E} SELECT file, row_number() OVER (PARTITION BY file ORDER BY start_line, id) AS place, id FROM e")
 def file_index(spark, d):
-    return facts.file_index(star.entities(spark, d).filter("type <> 'Method'"))
+    return facts.file_index(star.entities(spark, d))
 
 
 @query(f"WITH {E} SELECT CASE WHEN coalesce(signature, '') <> '' THEN qualified_name || '#' || signature ELSE qualified_name END AS key, min(id) AS id FROM e GROUP BY 1")
