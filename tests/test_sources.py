@@ -1,11 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factmill.operators.resolve import overrides, resolve
+from factmill.operators.resolve import overrides, resolve, virtual_calls
 from factmill.plans.runs import Project, extract, run
 from factmill.sources import files as source_files
 from factmill.sources.cpp import CppConfig, allowed, compile_flags, parse_cpp
-from factmill.sources.facts import parse
+from factmill.sources.facts import Facts, parse
 from factmill.sources.java import parse_java
 from factmill.sources.store import Store
 
@@ -185,3 +185,44 @@ def test_runs_are_incremental(spark, tmp_path):
     assert len(store.versions()) == 1 and store.read("entities").count() == len(whole) + 1
     with pytest.raises(ValueError, match="archived"):
         run(spark, store, Project("p", archived=True), source_files.imported(spark, FILES))
+
+
+SHAPES = """namespace geo {
+class Shape { public: virtual double area(int n); int plain(); };
+class Box : public geo::Shape { public: double both(Shape &other) { this->plain2(); other.area(1); part_->plain(); Shape *s = part_; s->area(2); unknown.area(3); return 0; }
+  void plain2(); Shape *part_; };
+}
+"""
+
+
+def test_calls_on_objects_in_cpp(spark):
+    files = spark.createDataFrame([("shapes.cpp", SHAPES)], "path string, content string")
+    entities, relations, _ = extract(files, Project("p", "cpp"))
+    got = {(r.location.start_col, r.target_id, r.external_target, r.virtual) for r in virtual_calls(relations, entities).filter("type = 'CALLS'").collect()}
+    named = sorted((t or x, v) for _, t, x, v in got)
+    area, plain = "cpp:geo::Shape::area#(int) -> double", "cpp:geo::Shape::plain#() -> int"
+    assert named == sorted([(area, True), (area, True), (plain, False), ("cpp:geo::Box::plain2#() -> void", False), ("area", None)])
+
+
+def test_a_file_that_takes_too_long_is_an_issue(spark):
+    def endless(path, text):
+        while text == "loop":
+            pass
+        return Facts(path, "X")
+
+    files = spark.createDataFrame([("a", "loop"), ("b", "fine")], "path string, content string")
+    *_, issues, millis = parse(files, endless, "X.FAILED", seconds=1)
+    assert [(r.code, r.file) for r in issues.collect()] == [("X.FAILED", "a")] and millis.count() == 2
+
+
+def test_commits_after_vacuum_are_seen(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for n in range(1, 5):
+        store.commit(t=spark.range(n))
+    store.vacuum(1)
+    store.commit(t=spark.range(100))
+    assert store.read("t").count() == 100 and len(store.versions()) == 2
+    store.append(t=spark.range(5), u=spark.range(2))
+    store.append(u=spark.range(3))
+    store.vacuum(1)
+    assert store.read("t").count() == 105 and store.read("u").count() == 5
