@@ -24,6 +24,13 @@ def architecture(entities: DataFrame) -> DataFrame:
     return types.select("id", template("| ${type} | `${name}` | ${doc} |", type=F.col("type"), name=F.col("qualified_name"), doc=F.col("doc_comment")).alias("line"))
 
 
+def counts(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(content): how many documented types and relations there are."""
+    rows = entities.filter(F.col("type").isin(*DOCUMENTED)).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("m"))
+    rows = rows.unionByName(relations.agg(F.lit(0).alias("n"), F.count(F.lit(1)).alias("m"))).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return rows.select(F.concat(F.col("n").cast("string"), F.lit(" types, "), F.col("m").cast("string"), F.lit(" relations\n")).alias("content"))
+
+
 def modules(entities: DataFrame) -> DataFrame:
     return entities.filter(F.col("type").isin(*DOCUMENTED)).select("id", template("- `${name}`", name=F.col("qualified_name")).alias("line"))
 

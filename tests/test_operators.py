@@ -128,6 +128,15 @@ def test_document(spark):
     assert lines == ["class Sub", "go()", "class Top", "Top <|-- Sub"]
 
 
+def test_dense_macros_add_a_step(spark):
+    new = spark.createDataFrame([(f"f{i}", "a" if i else "b") for i in range(40)], "path string, checksum string")
+    old = spark.createDataFrame([(f"f{i}", "a") for i in range(40)], "path string, checksum string")
+    uses = spark.createDataFrame([(f"f{i + 1}", f"f{i}") for i in range(39)], "user string, used string")
+    for hits, want in ((3, 3), (4, 4)):  # of ten statements in each file
+        macros = new.select("path", F.lit(hits).alias("uses"), F.lit(10).alias("statements"))
+        assert diff.plan(old, new, uses, macros=macros).count() == want
+
+
 def test_names_become_links(spark):
     sections = spark.createDataFrame([("1", "see `p.A` and `p.Z`, not p.A"), ("2", "")], "section string, content string")
     entities = spark.createDataFrame([("java:p.A", "p.A"), ("x", "p.Z"), ("y", "p.Z")], "id string, qualified_name string")
