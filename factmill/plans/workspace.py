@@ -111,7 +111,7 @@ class Workspace:
     def relations(self, project: str, source: str | None = None, kind: str | None = None, external: str | None = None) -> DataFrame:
         """Relations that pass the filters, with ``virtual`` of calls."""
         held = self.facts(project)
-        return virtual_calls(facts.query_relations(held.read("relations"), source, kind, external), held.read("entities"))
+        return facts.query_relations(virtual_calls(held.read("relations"), held.read("entities")), source, kind, external)
 
     def graph(self, project: str, start: str | None = None, depth: int = 2) -> tuple[DataFrame, DataFrame]:
         held = self.facts(project)

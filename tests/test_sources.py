@@ -226,3 +226,27 @@ def test_commits_after_vacuum_are_seen(spark, tmp_path):
     store.append(u=spark.range(3))
     store.vacuum(1)
     assert store.read("t").count() == 105 and store.read("u").count() == 5
+
+
+VIRTUAL = """class A { public: virtual int late(); int plain(); };
+class B : public A { public: int late(); int plain(); };
+class C : public B { public: int late() override; int plain(); };
+int use(B &b, C &c) { b.late(); b.plain(); return c.late(); }
+"""
+
+
+def test_cpp_overrides_only_what_is_virtual(spark):
+    files = spark.createDataFrame([("v.cpp", VIRTUAL)], "path string, content string")
+    entities, relations, _ = extract(files, Project("p", "cpp"))
+    over = {(r.source_id, r.target_id) for r in relations.filter("type = 'OVERRIDES'").collect()}
+    name = lambda c: f"cpp:{c}::late#() -> int"
+    assert over == {(name("B"), name("A")), (name("C"), name("B"))}
+    calls = {r.target_id: r.virtual for r in virtual_calls(relations, entities).filter("type = 'CALLS'").collect()}
+    assert calls == {name("B"): True, name("C"): True, "cpp:B::plain#() -> int": False}
+
+
+def test_methods_of_object_are_overridden_outside(spark):
+    text = "class A { public String toString() { return null; } public boolean equals(A other) { int x = 1; x = 2; return true; } }\ninterface I { int hashCode(); }"
+    _, relations, _ = extract(spark.createDataFrame([("A.java", text)], "path string, content string"), Project("p"))
+    assert [r.external_target for r in relations.filter("type = 'OVERRIDES'").collect()] == ["java.lang.Object.toString#()Ljava/lang/String;"]
+    assert [r.external_target for r in relations.filter("type = 'WRITES'").collect()] == ["A.x"]  # the assignment, not the declaration
