@@ -1,6 +1,6 @@
 import pytest
 
-from factmill.plans import catalogue
+from factmill.plans import catalogue, parsed  # noqa: F401 - parsed adds its queries
 from tests.oracle import connection, same
 
 
