@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts, toxicity
+from . import (
+    decontaminate,
+    divergence,
+    fill_in_middle,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from .common import table
 
 QUERIES = {
@@ -16,6 +30,9 @@ QUERIES = {
     "op8_pii": lambda spark, d: pii.personal_data(table(spark, d, "documents")),
     "op9_line_dedup": lambda spark, d: line_dedup.line_dedup(table(spark, d, "documents")),
     "op10_near_dedup": lambda spark, d: near_dedup.near_dedup(table(spark, d, "documents")),
+    "op11_fill_in_middle": lambda spark, d: fill_in_middle.digests(table(spark, d, "documents")),
+    "op12_divergence": lambda spark, d: divergence.divergence(table(spark, d, "documents")),
+    "op13_url_filter": lambda spark, d: url_filter.verdicts(table(spark, d, "pages")),
 }
 
 ORACLE_SQL = {
@@ -23,4 +40,6 @@ ORACLE_SQL = {
     "op6_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_near_dedup": near_dedup.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op12_divergence": divergence.SQL,
 }

@@ -34,7 +34,7 @@ def test_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_every_query_stands_empty_tables(spark, tmp_path, sf, name):
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
