@@ -21,12 +21,16 @@ AUDITS = "event_id string, project_id string, insight_id string, action string,
 EVENTS = "run_id string, project_id string, number int, type string, stage string"
 
 
+#: Versions of the small tables that stay for those who read them.
+KEEP = 16
+
+
 class Workspace:
     """Projects under ``root``: small tables as logs whose last row of a key stands, and a store of facts for each."""
 
     def __init__(self, spark: SparkSession, root: str, clock=lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)):
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
-        self.store = Store(spark, f"{self.root}/workspace")
+        self.store = Store(spark, f"{self.root}/workspace", keep=KEEP)
 
     def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
         self.store.append(**{name: self.spark.createDataFrame(rows, schema).coalesce(1)})
