@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, carried, flat, grams, hashes, mix, pieces, spans, stored
+from .common import ALNUM, LOWER, carried, constants, flat, grams, hashes, mix, pieces, spans, stored
 
 SHARD_BYTES = 4 << 20
-#: Words of the benchmark that are sent to the tasks at once, at most. A word takes up to 48 bytes in all arrays of a
-#: block, so a broadcast is of 25 MB at most.
+#: Words of the benchmark that are sent to the tasks at once, at most. A word takes up to 80 bytes in all arrays of a
+#: block, so a broadcast is of 42 MB at most.
 BLOCK_WORDS = 1 << 19
 #: Benchmark text of a partition that the driver reads at once, about.
 PART_BYTES = 16 << 20
@@ -44,7 +44,9 @@ class Suffixes:
 
     ``words`` are the hashes of all words of the items, one item after the other; ``sizes`` tells how many each has and
     ``shift`` how many of its words lie before (an item may come in parts). Windows are not spelled out: ``start`` is
-    where a distinct one stands first in ``words``. Two windows are one if their 64-bit hashes agree.
+    where a distinct one stands first in ``words``. Two windows are one if their 64-bit hashes agree. The places of a
+    window (``slot``) are in the order of the words that follow, so a text's longest match from a place is found by
+    bisection, however many items share the window. Windows of the same items are of one class, whose items are listed once.
     """
 
     def __init__(self, ids: list, words: np.ndarray, sizes: np.ndarray, shift: np.ndarray, window: int):
@@ -59,13 +61,28 @@ class Suffixes:
             own = span[item] == n
             key[own] = mix(grams(words, n)[at[own]] ^ np.uint64(n))
         _, new, back = np.unique(key, return_index=True, return_inverse=True)
-        order = np.argsort(back.reshape(-1), kind="stable")
+        back = back.reshape(-1)
+        self.end = np.repeat(first + sizes, sizes)  # where the item of each word ends
+        order = np.lexsort((_suffix_ranks(words, self.end)[at], back)) if len(at) else np.empty(0, np.int64)
         self.words, self.start, self.span = words, at[new].astype(np.int32), span[item[new]].astype(np.int32)
-        self.item, self.place = item[order], (place + shift[item])[order]
-        self.first = np.searchsorted(back.reshape(-1)[order], np.arange(len(new) + 1)).astype(np.int32)
+        self.item, self.place, self.slot = item[order], (place + shift[item])[order], at[order]
+        self.first = np.searchsorted(back[order], np.arange(len(new) + 1)).astype(np.int32)
+        self.sums = _sums(words)
         self.window, self.ids = window, ids
         self.ones = np.unique(words[self.start[self.span == 1]])
         self.twos = np.unique(grams(words, 2)[self.start[self.span > 1]])
+        pairs = np.unique(back.astype(np.int64) * max(len(ids), 1) + item)
+        mark = np.zeros(len(new), np.uint64)
+        np.add.at(mark, pairs // max(len(ids), 1), mix((pairs % max(len(ids), 1)).astype(np.uint64) + np.uint64(1)))
+        _, one, self.kind = np.unique(mark, return_index=True, return_inverse=True)
+        self.kind = self.kind.reshape(-1)
+        low, high = (np.searchsorted(pairs, (one + n) * max(len(ids), 1)) for n in (0, 1))
+        self.kinds = [(pairs[x:y] % max(len(ids), 1)).astype(np.int32) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        """The items that hold any of these windows."""
+        kinds = np.unique(self.kind[windows])
+        return np.unique(np.concatenate([self.kinds[k] for k in kinds.tolist()])) if len(kinds) else np.empty(0, np.int32)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -78,6 +95,70 @@ class Suffixes:
         return np.flatnonzero(found)
 
 
+def _suffix_ranks(words: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The rank of each place among all by the words from there to its item's end; an end comes before any word."""
+    rank = np.unique(words, return_inverse=True)[1].reshape(-1) + 1
+    step, longest = 1, int((end - np.arange(len(end))).max(initial=0))
+    while step < longest:
+        then = np.zeros(len(rank), np.int64)
+        far = np.flatnonzero(np.arange(len(rank)) + step < end)
+        then[far] = rank[far + step]
+        rank = np.unique(rank * (len(rank) + 2) + then, return_inverse=True)[1].reshape(-1) + 1
+        step *= 2
+    return rank
+
+
+_powers = np.ones(1, np.uint64)
+
+
+def _power(n: int) -> np.ndarray:
+    """The powers of an odd base up to the n-th."""
+    global _powers
+    if len(_powers) <= n:
+        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), constants(31, 1)[0])]))
+    return _powers
+
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    return np.concatenate([[np.uint64(0)], np.cumsum(words * _power(len(words))[: len(words)])])
+
+
+def _agree(words: np.ndarray, sums: np.ndarray, end: np.ndarray, at: np.ndarray, suffixes: Suffixes, slot: np.ndarray) -> np.ndarray:
+    """How many words agree from places ``at`` of a text (which ends at ``end``) and ``slot`` of the items on, by hashes."""
+    most = np.minimum(end - at, suffixes.end[slot] - slot)
+    low, high, power = np.minimum(1, most), most, _power(max(len(words), len(suffixes.words)))
+    while (live := low < high).any():
+        middle = (low + high + 1) >> 1
+        same = (sums[at + middle] - sums[at]) * power[slot] == (suffixes.sums[slot + middle] - suffixes.sums[slot]) * power[at]
+        low, high = np.where(live & same, middle, low), np.where(live & ~same, middle - 1, high)
+    return low
+
+
+def _longest(words: np.ndarray, first: np.ndarray, which: np.ndarray, at: np.ndarray, doc: np.ndarray, suffixes: Suffixes) -> np.ndarray:
+    """For each hit the words of the longest verbatim match with an item from there on.
+
+    A bisection among the places of the window, which are in order, so a hit costs the logarithm of their number.
+    """
+    out = suffixes.span[which].astype(np.int64)
+    full = np.flatnonzero(suffixes.span[which] == suffixes.window)
+    sums, ends = _sums(words), first[doc + 1]
+    for i in range(0, len(full), 1 << 17):
+        some = full[i : i + (1 << 17)]
+        p, end, best = at[some], ends[some], out[some]
+        low, high = suffixes.first[which[some]].astype(np.int64), suffixes.first[which[some] + 1].astype(np.int64)
+        while (live := np.flatnonzero(low < high)).size:
+            middle = (low[live] + high[live]) >> 1
+            slot = suffixes.slot[middle]
+            n = _agree(words, sums, end[live], p[live], suffixes, slot)
+            best[live] = np.maximum(best[live], n)
+            over, out_of = slot + n >= suffixes.end[slot], p[live] + n >= end[live]
+            after = suffixes.words[np.where(over, slot, slot + n)] < words[np.where(out_of, p[live], p[live] + n)]
+            right = over | (~out_of & after)  # an item that has ended comes first
+            low[live], high[live] = np.where(right, middle + 1, low[live]), np.where(right, high[live], middle)
+        out[some] = best
+    return out
+
+
 def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     if not len(held):
         return np.zeros(len(x), bool)
@@ -131,15 +212,30 @@ def _searched(batches: Iterator[pa.RecordBatch], suffixes: Suffixes):
     for batch in pieces(batches, most=SHARD_BYTES):
         words, first = words_of(batch.column("text"))
         which, at = SuffixArray(words, first, suffixes).search(suffixes)
-        yield batch, first, which, at, np.searchsorted(first, at, "right") - 1
+        yield batch, words, first, which, at, np.searchsorted(first, at, "right") - 1
+
+
+#: Rows that one step of a listing of matches spreads, about.
+STEP_ROWS = 1 << 20
 
 
-def _runs(first: np.ndarray, which: np.ndarray, at: np.ndarray, doc: np.ndarray, suffixes: Suffixes) -> tuple[np.ndarray, ...]:
-    """Longest verbatim matches (document, item, places in either, words): windows that follow one another in both."""
-    sizes = suffixes.first[which + 1] - suffixes.first[which]
-    slot = np.repeat(suffixes.first[which], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    item, place, at, doc = suffixes.item[slot], suffixes.place[slot], np.repeat(at, sizes), np.repeat(doc, sizes)
-    span = np.repeat(suffixes.span[which], sizes)
+def _runs(first: np.ndarray, which: np.ndarray, at: np.ndarray, doc: np.ndarray, suffixes: Suffixes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Longest verbatim matches (document, item, places in either, words): windows that follow one another in both.
+
+    A range of items at a time, so that what is spread at once is bounded by STEP_ROWS or the matches of one item.
+    """
+    total = int((suffixes.first[which + 1] - suffixes.first[which]).sum())
+    steps = min(max(1, -(-total // STEP_ROWS)), max(len(suffixes.ids), 1))
+    for low, high in zip(*(np.linspace(0, len(suffixes.ids), steps + 1).astype(int)[x] for x in (slice(None, -1), slice(1, None))), strict=True):
+        mine = np.flatnonzero((suffixes.item >= low) & (suffixes.item < high))
+        begin = np.searchsorted(mine, suffixes.first)
+        sizes = begin[which + 1] - begin[which]
+        slot = mine[np.repeat(begin[which], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        if len(slot):
+            yield _joined(suffixes.item[slot], suffixes.place[slot], np.repeat(at, sizes), np.repeat(doc, sizes), np.repeat(suffixes.span[which], sizes), first)
+
+
+def _joined(item, place, at, doc, span, first) -> tuple[np.ndarray, ...]:
     order = np.lexsort((at, at - place, item, doc))
     item, place, at, doc, span = (x[order] for x in (item, place, at, doc, span))
     new = np.ones(len(at), bool)
@@ -151,9 +247,9 @@ def _runs(first: np.ndarray, which: np.ndarray, at: np.ndarray, doc: np.ndarray,
 
 def _scan(batches: Iterator[pa.RecordBatch], suffixes: Suffixes, rest: pa.Schema) -> Iterator[pa.RecordBatch]:
     """For each document its words, the intervals that windows cover, the items that they are from and its longest match."""
-    for batch, first, which, at, doc in _searched(batches, suffixes):
+    for batch, words, first, which, at, doc in _searched(batches, suffixes):
         n = batch.num_rows
-        starts, ends, items = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
+        starts, ends, named = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
         longest: list[tuple] = [(0, None)] * n
         if len(at):
             change = np.zeros(first[-1] + 1, np.int64)
@@ -168,31 +264,34 @@ def _scan(batches: Iterator[pa.RecordBatch], suffixes: Suffixes, rest: pa.Schema
             for a, b, d in zip(begin.tolist(), stop.tolist(), (np.searchsorted(first, begin, "right") - 1).tolist(), strict=True):
                 starts[d].append(a - int(first[d]))
                 ends[d].append(b - int(first[d]))
-            for d, i, own, _, size in zip(*(x.tolist() for x in _runs(first, which, at, doc, suffixes)), strict=True):
-                items[d].append(i)
-                longest[d] = max(longest[d], (size, -own), key=lambda x: (x[0], x[1] if x[1] is not None else 0))
-        named = [sorted({str(suffixes.ids[i]) for i in set(x) if suffixes.ids[i] is not None}) for x in items]
+            size = _longest(words, first, which, at, doc, suffixes)
+            order = np.lexsort((at, -size, doc))  # the longest of each document, of these the first
+            doc, at, size, which = doc[order], at[order], size[order], which[order]
+            head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            for d, own, most, a, b in zip(doc[head].tolist(), at[head].tolist(), size[head].tolist(), head.tolist(), [*head[1:].tolist(), len(doc)], strict=True):
+                longest[d] = most, own - int(first[d])
+                named[d] = sorted({str(suffixes.ids[i]) for i in suffixes.items_of(which[a:b]).tolist() if suffixes.ids[i] is not None})
         columns = [batch.column(f.name) for f in rest] + [
             pa.array(np.diff(first)),
             pa.array(starts, pa.list_(pa.int64())),
             pa.array(ends, pa.list_(pa.int64())),
             pa.array(named, pa.list_(pa.string())),
             pa.array([x[0] for x in longest], pa.int64()),
-            pa.array([None if x[1] is None else -x[1] for x in longest], pa.int64()),
+            pa.array([x[1] for x in longest], pa.int64()),
         ]
         yield pa.RecordBatch.from_arrays(columns, [*rest.names, *_FOUND])
 
 
 def _matches(batches: Iterator[pa.RecordBatch], suffixes: Suffixes) -> Iterator[pa.RecordBatch]:
-    for batch, first, which, at, doc in _searched(batches, suffixes):
-        doc, item, own, place, size = _runs(first, which, at, doc, suffixes)
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)),
-            "item_id": pa.array([suffixes.ids[i] for i in item.tolist()], pa.string()),
-            "doc_word": pa.array(own.astype(np.int64)),
-            "item_word": pa.array(place.astype(np.int64)),
-            "n_words": pa.array(size.astype(np.int64)),
-        })
+    for batch, _, first, which, at, doc in _searched(batches, suffixes):
+        for d, item, own, place, size in _runs(first, which, at, doc, suffixes):
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(d)),
+                "item_id": pa.array([suffixes.ids[i] for i in item.tolist()], pa.string()),
+                "doc_word": pa.array(own.astype(np.int64)),
+                "item_word": pa.array(place.astype(np.int64)),
+                "n_words": pa.array(size.astype(np.int64)),
+            })
 
 
 def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator:
