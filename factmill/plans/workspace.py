@@ -91,7 +91,7 @@ class Workspace:
         ident = uuid.uuid4().hex[:12]
         settings = runs.Project(project, config.get("language") or "java", CppConfig(**config.get("cpp", {})), config.get("ratio", 0.2), config.get("permissive", False), bool(config.get("archived")))
         try:
-            result = runs.run(self.spark, self.facts(project), settings, files, stages, forced)
+            result = runs.run(self.spark, self.facts(project), settings, files, stages, forced, self.version(project))
             events, failed = result.events, any(t == "stage_error" for t, _ in result.events)
         except Exception:
             self._append("runs", RUNS, [(ident, project, request, "failed", now, self.clock(), self.clock())])
@@ -147,7 +147,8 @@ class Workspace:
         held, ident = self.facts(project), uuid.uuid4().hex[:12]
         version = held.versions()[-1]
         path = f"{self.root}/projects/{project}/exports/{ident}"
-        report = runs.report(runs.Project(project), version, held.read("entities"), held.read("relations"))
+        config = json.loads(self._project(project).config)
+        report, _ = runs.generated(held, runs.Project(project, config.get("language") or "java"), version, self.version(project))
         report.orderBy("section", "place", "id").select("content").write.text(path)
         return path
 

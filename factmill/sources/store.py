@@ -147,13 +147,18 @@ class Store:
         parts = {name: Part(self._written(name, df)) for name, df in tables.items()}
         return self._stand(self._tables(), lambda now: {name: self._levelled(name, now.get(name, Table()), part) for name, part in parts.items()}, set())
 
+    def drop(self, *names: str) -> None:
+        """From the next version on there are no tables of these names; their data goes when older versions do."""
+        if names and any(n in self._tables() for n in names):
+            self._stand({}, lambda now: {name: None for name in names}, set())
+
     def _stand(self, base: dict[str, Table], change, replaced: set[str]) -> str:
         while True:
             now = self._tables()
             for name in replaced:
                 if now.get(name) != base.get(name):
                     raise Conflict(name)
-            version = self._point(now | change(now))
+            version = self._point({name: t for name, t in (now | change(now)).items() if t is not None})
             if version is not None:
                 if self.keep is not None:
                     self.vacuum(self.keep)
@@ -184,6 +189,8 @@ class Store:
         count = held.buckets or BUCKETS
         bucket = F.pmod(F.xxhash64(F.col(merge.key)), F.lit(count)).cast("int")
         asked = {r[0] for r in keys.select(bucket.alias("b")).distinct().collect()}  # at most ``count`` numbers
+        if held.parts and not asked:
+            return held
         mine = [p.path for p in held.parts if p.bucket in asked]
         if mine:
             rows = kept(mine).unionByName(rows)
