@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.insights import cache_key, cleaned, confidence, evidence, structured, token_estimate
+from ..sources.tables import cut
 from .insights import candidates, uncached, ungenerated
 
 # Which kinds of insight each type of entity gets.
@@ -25,7 +27,8 @@ PROMPTS = {
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Limits of the calls: a daily budget in tokens (0: none), tries, and failures in a row after which a task stops."""
+    """Limits of the calls: budgets in tokens of a day and of a run (0: none), tries, failures in a row after which no
+    more calls are made, calls at once, and calls of a wave at most."""
 
     model: str = "none"
     prompt_version: str = "v1"
@@ -33,6 +36,20 @@ class ModelConfig:
     tries: int = 3
     base_delay: float = 0.3
     failures: int = 5
+    run_budget: int = 0
+    concurrency: int = 4
+    wave: int = 64
+
+
+@dataclass(frozen=True)
+class Meter:
+    """What a run's calls have come to: failures in a row, tokens, calls, and why they ended early, if they did."""
+
+    failed: int = 0
+    run_tokens: int = 0
+    day_tokens: int = 0
+    calls: int = 0
+    stopped: str | None = None
 
 
 def wanted(entities: DataFrame, insights: DataFrame, cache: DataFrame, config: ModelConfig) -> DataFrame:
@@ -48,45 +65,91 @@ def wanted(entities: DataFrame, insights: DataFrame, cache: DataFrame, config: M
     return uncached(ungenerated(made, insights), cache).withColumn("tokens", token_estimate(F.col("prompt")))
 
 
-class Breaker:
-    """Opens after a number of failures in a row; a success closes it."""
-
-    def __init__(self, most: int):
-        self.most, self.failed = most, 0
-
-    @property
-    def open(self) -> bool:
-        return self.failed >= self.most
-
-    def note(self, good: bool) -> None:
-        self.failed = 0 if good else self.failed + 1
-
-
 def call(rows: DataFrame, ask: Callable[[str, ModelConfig], str] | None, config: ModelConfig, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``rows`` with ``answer`` (null without one) and ``degraded``. ``ask`` runs in the tasks, one call at a time each."""
+    """``rows`` with ``answer`` (null without one) and ``degraded``; see ``call_waves``."""
+    return call_waves(rows, ask, config, sleep=sleep)[0]
+
 
+def _asked(ask: Callable[[str, ModelConfig], str], config: ModelConfig):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        breaker = Breaker(config.failures)
         for batch in batches:
             answers = []
             for prompt in batch["prompt"]:
-                answer = None
-                for attempt in range(1, config.tries + 1):
-                    if ask is None or breaker.open:
-                        break
-                    try:
-                        answer = ask(prompt, config)
-                        breaker.note(True)
-                        break
-                    except Exception:  # any failure of the service counts alike
-                        breaker.note(False)
-                        if attempt < config.tries:
-                            sleep(min(config.base_delay * 2 ** (attempt - 1), 15))
-                answers.append(answer)
-            yield batch.assign(answer=pd.Series(answers, dtype=object, index=batch.index), degraded=[a is None for a in answers])
-
-    schema = rows.select("*", F.lit(None).cast("string").alias("answer"), F.lit(False).alias("degraded")).schema
-    return rows.mapInPandas(run, schema)
+                try:
+                    answers.append(ask(prompt, config))
+                except Exception:  # any failure of the service counts alike
+                    answers.append(None)
+            yield batch[["__at"]].assign(answer=pd.Series(answers, dtype=object, index=batch.index))
+
+    return run
+
+
+def call_waves(
+    rows: DataFrame, ask: Callable[[str, ModelConfig], str] | None, config: ModelConfig, spent_today: int = 0, meter: Meter | None = None, sleep: Callable[[float], None] = time.sleep
+) -> tuple[DataFrame, Meter]:
+    """``rows`` (cache_key, prompt, tokens, rank) with ``answer`` and ``degraded``, and the meter of the run.
+
+    Calls are made in waves by rank, at most ``concurrency`` at once. A wave is one attempt each; what fails is tried
+    again in the next one, after a delay that doubles. After a wave its failures in a row and its tokens are folded in
+    order of rank into the meter, which the next wave starts from; so the breaker and both budgets are those of the run,
+    however many tasks there are. The first wave has no more calls than may fail in a row, and waves double while none
+    fails: a service that is down costs ``failures`` calls. An attempt is made only if its tokens fit into what is left
+    of both budgets. Rows that get no answer are degraded. No more than a wave's outcomes reach the driver at once.
+    """
+    meter = meter or Meter(day_tokens=spent_today)
+    # places in order, by ranges: nothing gathers the rows in one task
+    cost = F.coalesce("tokens", token_estimate(F.col("prompt"))).alias("__cost")
+    listed = cut(rows.repartitionByRange("rank", "cache_key").sortWithinPartitions("rank", "cache_key").withColumn("__part", F.spark_partition_id()).withColumn("__cost", cost))
+    sizes = {r[0]: r[1] for r in listed.groupBy("__part").count().collect()}
+    begins, n = {}, 0
+    for part in sorted(sizes):
+        begins[part] = n
+        n += sizes[part]
+    begin = F.create_map(*(F.lit(x) for pair in (begins or {0: 0}).items() for x in pair))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("rank", "cache_key"))
+    listed = cut(listed.withColumn("__at", (inside - 1 + begin[F.col("__part")]).cast("long")).drop("__part"))
+    spark, answered, again, at, size = rows.sparkSession, None, {}, 0, config.failures - meter.failed
+    while ask is not None and meter.stopped is None and (at < n or again):
+        room = max(1, min(size, config.wave))
+        tries = dict(sorted(again.items())[:room])
+        fresh = range(at, min(n, at + room - len(tries)))
+        wanted_ = spark.createDataFrame([(x,) for x in [*tries, *fresh]], "__at long")
+        mine = listed.join(F.broadcast(wanted_), "__at").select("__at", "prompt", "__cost")  # at most a wave
+        costs = {r[0]: r[1] for r in mine.select("__at", "__cost").collect()}
+        left = [b - used for b, used in ((config.run_budget, meter.run_tokens), (config.budget, meter.day_tokens)) if b]
+        taken, sum_ = [], 0
+        for x in [*tries, *fresh]:
+            if any(sum_ + costs[x] > b for b in left):
+                meter = dataclasses.replace(meter, stopped="budget")
+                break
+            sum_ += costs[x]
+            taken.append(x)
+        if not taken:
+            break
+        if tries:
+            sleep(min(config.base_delay * 2 ** (max(tries.values()) - 1), 15))
+        made = mine.filter(F.col("__at").isin(taken)).repartition(min(config.concurrency, len(taken))).mapInPandas(_asked(ask, config), "__at long, answer string")
+        made = cut(made)
+        good = {r[0]: r[1] for r in made.select("__at", F.col("answer").isNotNull()).collect()}
+        failed = meter.failed
+        for x in taken:
+            failed = 0 if good[x] else failed + 1
+            if good[x]:
+                again.pop(x, None)
+            elif again.get(x, 0) + 1 < config.tries:
+                again[x] = again.get(x, 0) + 1
+            else:
+                again.pop(x, None)
+            if failed >= config.failures:
+                meter = dataclasses.replace(meter, stopped="breaker")
+        at = max(at, 1 + max((x for x in taken if x in fresh), default=at - 1))
+        size = size * 2 if all(good.values()) else config.failures - failed
+        meter = dataclasses.replace(meter, failed=failed, run_tokens=meter.run_tokens + sum_, day_tokens=meter.day_tokens + sum_, calls=meter.calls + len(taken))
+        made = made.filter("answer is not null")
+        answered = made if answered is None else answered.unionByName(made)
+    answered = answered if answered is not None else spark.createDataFrame([], "__at long, answer string")
+    found = listed.join(answered, "__at", "left").withColumn("degraded", F.col("answer").isNull())
+    return found.select(*rows.columns, "answer", "degraded"), meter
 
 
 def insights_of(answers: DataFrame) -> DataFrame:

@@ -73,14 +73,54 @@ def test_enrichment(spark):
     assert enrich.wanted(entities, live, none, enrich.ModelConfig(budget=500)).select("entity_id").distinct().count() == 1
 
 
-def test_breaker():
-    breaker = enrich.Breaker(2)
-    breaker.note(False)
-    breaker.note(True)
-    breaker.note(False)
-    assert not breaker.open
-    breaker.note(False)
-    assert breaker.open
+def _prompts(spark, n, parts=7):
+    rows = [(f"k{i:03d}", f"p{i}", 10, i) for i in range(n)]
+    return spark.createDataFrame(rows, "cache_key string, prompt string, tokens long, rank int").repartition(parts)
+
+
+def _service(tmp_path, fails):
+    """Writes a file for each call; fails as told by the prompt and how often it was asked."""
+    import os
+    import uuid
+
+    def ask(prompt, config):
+        n = sum(x.startswith(f"{prompt}-") for x in os.listdir(tmp_path))
+        open(f"{tmp_path}/{prompt}-{uuid.uuid4().hex}", "w").close()
+        if fails(prompt, n):
+            raise OSError("down")
+        return f"answer to {prompt}"
+
+    return ask
+
+
+def test_a_service_that_is_down_costs_as_many_calls_as_may_fail(spark, tmp_path):
+    import os
+
+    for concurrency in (1, 8):
+        home = tmp_path / str(concurrency)
+        home.mkdir()
+        config = enrich.ModelConfig(failures=5, tries=3, base_delay=0, concurrency=concurrency)
+        made, meter = enrich.call_waves(_prompts(spark, 40), _service(home, lambda p, n: True), config)
+        assert len(os.listdir(home)) == 5 == meter.calls and meter.stopped == "breaker"
+        assert made.filter("degraded").count() == 40
+
+
+def test_waves_retry_and_count(spark, tmp_path):
+    slept = []
+    config = enrich.ModelConfig(failures=5, tries=3, base_delay=1, concurrency=4, wave=16)
+    made, meter = enrich.call_waves(_prompts(spark, 30), _service(tmp_path, lambda p, n: (p == "p3" and n < 2) or p == "p9"), config, sleep=slept.append)
+    got = {r.prompt: r.answer for r in made.collect()}
+    assert len(got) == 30 and [p for p, a in got.items() if a is None] == ["p9"] and got["p3"] == "answer to p3"
+    assert meter.calls == 30 + 2 + 2 and meter.stopped is None and slept[:2] == [1, 2] and meter.run_tokens == 340
+
+
+def test_both_budgets_hold_over_all_tasks(spark, tmp_path):
+    ask = _service(tmp_path, lambda p, n: False)
+    made, meter = enrich.call_waves(_prompts(spark, 30), ask, enrich.ModelConfig(run_budget=125, wave=4))
+    assert meter.calls == 12 and meter.stopped == "budget" and {r.prompt for r in made.filter("not degraded").collect()} == {f"p{i}" for i in range(12)}
+    made, meter = enrich.call_waves(_prompts(spark, 30), ask, enrich.ModelConfig(run_budget=200, budget=1000), spent_today=950)
+    assert (meter.calls, meter.day_tokens) == (5, 1000)
+    assert enrich.call_waves(_prompts(spark, 0), ask, enrich.ModelConfig())[0].count() == 0
 
 
 def test_scripts(spark):
