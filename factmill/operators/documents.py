@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import node_name, safe, short_name, template
+from ..sources.tables import cut
 from .intervals import members_by_prefix
 
 DOCUMENTED = ("Class", "Interface", "Enum", "Annotation")
@@ -132,3 +135,50 @@ def display_edges(entities: DataFrame, relations: DataFrame, kinds: tuple[str, .
     nodes = entities.orderBy("id").limit(limit).select("id")
     found = relations.filter(F.col("type").isin(*kinds)).join(nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     return found.join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("source_id", "type", "target_id").distinct()
+
+
+#: The types that make the first and the second layer of a diagram; all others make the third.
+LAYERS = (("Class", "Interface", "Struct", "Union", "Enum"), ("Method", "Function", "Constructor", "Destructor"))
+
+
+def layout(entities: DataFrame, limit: int = 80) -> DataFrame:
+    """(id, layer, place, layer_size, widest): where the first ``limit`` nodes stand, layer by layer, places from 0.
+
+    ``widest`` is the size of the largest layer, at least 1.
+    """
+    first = entities.select("id", "type").filter("id is not null").orderBy("id").limit(limit)
+    layer = F.when(F.col("type").isin(*LAYERS[0]), 0).when(F.col("type").isin(*LAYERS[1]), 1).otherwise(2)
+    rows = first.withColumn("layer", layer)
+    own = Window.partitionBy("layer")
+    placed = rows.select("id", "layer", (F.row_number().over(own.orderBy("id")) - 1).alias("place"), F.count(F.lit(1)).over(own).alias("layer_size"))
+    return placed.withColumn("widest", F.max("layer_size").over(Window.partitionBy()))  # of at most ``limit`` rows
+
+
+def drawn(entities: DataFrame, relations: DataFrame, kinds: tuple[str, ...], limit: int = 80) -> DataFrame:
+    """Edges to draw with the places of both ends: (source_id, type, target_id, from_layer, from_place, to_layer, to_place)."""
+    at = layout(entities, limit)
+    ends = display_edges(entities, relations, kinds, limit)
+    for side, name in (("source_id", "from"), ("target_id", "to")):
+        ends = ends.join(at.select(F.col("id").alias(side), F.col("layer").alias(f"{name}_layer"), F.col("place").alias(f"{name}_place")), side)
+    return ends.select("source_id", "type", "target_id", "from_layer", "from_place", "to_layer", "to_place")
+
+
+def made_again(sections: DataFrame, make: Callable[[DataFrame, int], DataFrame], failures: Callable[[DataFrame], DataFrame], most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``sections`` (section, …) after those that fail were made again, at most ``most`` times; and the failures left.
+
+    ``failures`` gives (section, failure) of some sections. Only failing sections are handed to ``make`` (with the number
+    of the try and their ``failures``, an array), and only what it makes is checked anew; a section that it leaves out
+    stays as it was. The result has ``tries``: how often a section was made again.
+    """
+    held = cut(sections.withColumn("tries", F.lit(0)))
+    bad = cut(failures(sections))
+    for n in range(1, most + 1):
+        if bad.isEmpty():
+            break
+        why = bad.groupBy("section").agg(F.array_sort(F.collect_set("failure")).alias("failures"))
+        fresh = cut(make(held.drop("tries").join(why, "section"), n).select(*sections.columns))
+        untouched = bad.join(fresh.select("section"), "section", "left_anti")
+        held = cut(held.join(fresh.select("section"), "section", "left_anti").unionByName(fresh.withColumn("tries", F.lit(n))))
+        bad = cut(failures(fresh).unionByName(untouched))
+    return held, bad
+

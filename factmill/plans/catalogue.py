@@ -538,6 +538,31 @@ def display_edges(spark, d):
     return documents.display_edges(star.entities(spark, d).filter("type in ('Module', 'Namespace')"), star.relations(spark, d), ("CONTAINS", "INHERITS", "IMPLEMENTS", "DEPENDS_ON"))
 
 
+_MIXED = "substr(sha256(id), 1, 8) || id"
+
+
+@query(f"""WITH {E}, n AS (SELECT {_MIXED} AS id, CASE WHEN type IN ('Class', 'Interface', 'Struct', 'Union', 'Enum') THEN 0 WHEN type IN ('Method', 'Function', 'Constructor', 'Destructor') THEN 1 ELSE 2 END AS layer FROM e ORDER BY id LIMIT 80),
+p AS (SELECT id, layer, row_number() OVER (PARTITION BY layer ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY layer) AS layer_size FROM n)
+SELECT id, CAST(layer AS INTEGER) AS layer, CAST(place AS INTEGER) AS place, layer_size, max(layer_size) OVER () AS widest FROM p""")
+def diagram_layout(spark, d):
+    rows = star.entities(spark, d).withColumn("id", F.concat(F.substring(F.sha2("id", 256), 1, 8), "id"))
+    return documents.layout(rows)
+
+
+@query("""WITH s AS (SELECT p_partkey AS section, p_size AS n FROM part),
+t AS (SELECT section, CASE WHEN n <= 12 THEN 0 WHEN n // 2 <= 12 OR section % 5 = 0 THEN 1 ELSE 2 END AS tries, n FROM s)
+SELECT section, CAST(CASE WHEN tries > 0 AND section % 5 = 0 THEN 0 ELSE tries END AS INTEGER) AS tries,
+    CAST(CASE WHEN section % 5 = 0 THEN n WHEN tries = 2 THEN n // 4 WHEN tries = 1 THEN n // 2 ELSE n END AS BIGINT) AS length,
+    CASE WHEN section % 5 = 0 AND n > 12 OR tries = 2 AND n // 4 > 12 THEN 'too long' END AS failure FROM t""")
+def sections_made_again(spark, d):
+    """Sections that are too long are made again at half the length, twice at most; one in five is never made anew."""
+    sections = star.table(spark, d, "part").select(F.col("p_partkey").alias("section"), F.col("p_size").cast("long").alias("length"))
+    make = lambda bad, n: bad.filter("section % 5 <> 0").withColumn("length", F.floor(F.col("length") / 2))
+    fail = lambda rows: rows.filter("length > 12").select("section", F.lit("too long").alias("failure"))
+    made, left = documents.made_again(sections, make, fail)
+    return made.join(left, "section", "left").select("section", "tries", "length", "failure")
+
+
 # --- functions -------------------------------------------------------------------------------------------------------
 
 
