@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_ignored, is_source, relativize
@@ -57,3 +57,36 @@ def response_tables(responses: DataFrame, column: str = "json") -> tuple[DataFra
 def imported(spark: SparkSession, files: list[tuple[str, str | None]]) -> DataFrame:
     """A handful of sources as a table of files, for tests and small runs."""
     return spark.createDataFrame(files, "path string, content string").withColumn("checksum", F.sha2("content", 256))
+
+
+# Folders that hold sources by convention, in order, and those that builds compile to.
+STANDARD_ROOTS = ("src/main/java", "src/test/java", "src", "java")
+BUILT = {"maven": ("target/classes", "target/test-classes"), "gradle": ("build/classes/java/main", "build/classes/java/test")}
+
+
+def source_roots(files: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """(place, root): where sources are looked for, each root once at its first place.
+
+    First the ``configured`` ones (place, root) in their order, then the conventional folders that hold a file; if there
+    are none, the first folder of the least path that has one, and else the whole tree (an empty root).
+    """
+    spark = files.sparkSession
+    standard = spark.createDataFrame([(10**9 + i, r) for i, r in enumerate(STANDARD_ROOTS)], "place long, root string")
+    held = files.agg(*(F.coalesce(F.bool_or(F.startswith("path", F.lit(f"{r}/"))), F.lit(False)).alias(r) for r in STANDARD_ROOTS))
+    held = held.select(F.explode(F.create_map(*(x for r in STANDARD_ROOTS for x in (F.lit(r), F.col(f"`{r}`"))))).alias("root", "there"))
+    found = standard.join(held.filter("there").select("root"), "root").select("place", "root")
+    if configured is not None:
+        found = configured.filter("root <> ''").select(F.col("place").cast("long").alias("place"), "root").unionByName(found)
+    first = files.agg(F.min(F.when(F.contains("path", F.lit("/")), F.col("path"))).alias("path"))
+    last = first.select(F.lit(2 * 10**9).cast("long").alias("place"), F.coalesce(F.substring_index("path", "/", 1), F.lit("")).alias("root"))
+    found = found.unionByName(last.join(found.limit(1).select(F.lit(True).alias("some")), F.lit(True), "left_anti"))
+    once = found.groupBy("root").agg(F.min("place").alias("place"))
+    return once.select((F.row_number().over(Window.orderBy("place")) - 1).alias("place"), "root")  # a few rows
+
+
+def class_path(spark: SparkSession, root: str, strategy: str | None = None, manual: tuple[str, ...] = ()) -> list[str]:
+    """Folders of compiled classes under ``root``: those that the build tool makes, if they are there, then the ``manual`` ones."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    built = [f"{root}/{x}" for x in BUILT.get((strategy or "").lower(), ()) if fs.exists(path(f"{root}/{x}"))]
+    return list(dict.fromkeys([*built, *(f"{root}/{x}" for x in manual if x)]))
