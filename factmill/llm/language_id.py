@@ -9,10 +9,11 @@ marginal weight, each word counting by its bytes; its share is the score.
 
 The field is trained in numpy, by Adagrad on the exact gradient of the conditional likelihood, on a bounded sample of
 the rows with a language whose crc32(doc_id) modulo 5 is not 0: of each language rows with the smallest hashes of doc_id,
-up to an equal share of ``SAMPLE_BYTES``; a text that does not fit is passed over, and where none fits the beginning
-of the first one is taken. Every language is learned; with more than ``WIDE`` of them features share fewer buckets, so
-that the weights stay of one size, and with more than ``SAMPLE_ROWS`` of them each is learned from one row. Labels are
-those of the documents; so that transitions are learned, some of the passages take the second half of another one.
+texts up to an equal share of ``SAMPLE_BYTES``, and ``SAMPLE_ROWS`` in all; of a language whose texts are all larger
+than its share, pieces from all over one text. There are ``CELLS`` weights, shared
+evenly by the languages, so a field is of one size whatever their number. Labels are those of the documents; so that
+transitions are learned, some of the passages take the second half of another one. Every language is learned, unless
+there are more of them than rows; then those whose first rows have the least hashes are.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0. With no row to learn from every text is
 ``und``. Rows with one doc_id are judged each by itself.
@@ -20,20 +21,23 @@ Defined cases: a text that is null or has no letter is ``und`` with score 0. Wit
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, LOWER, byte_class, constants, flat, hashes, held_out, pieces, spans
 
 SAMPLE_BYTES = 3 << 20
 SAMPLE_ROWS = 2000
-BITS, WIDE = 17, 64
+#: Weights of all features and languages together; each feature has a bucket of weights, one for each language.
+CELLS = 1 << 21
+BITS = 19
+#: Parts of a language of which each gives its first rows.
+SLICES = 64
 CHAIN = 64
 EPOCHS = 6
 BATCH = 64
@@ -139,8 +143,8 @@ class Field:
         return out
 
     @classmethod
-    def train(cls, texts: list[str], langs: list[str], bits: int = BITS, epochs: int = EPOCHS, seed: int = 5) -> Field:
-        bits = max(8, bits - max(0, (len(set(langs)) - 1) // WIDE).bit_length())
+    def train(cls, texts: list[str], langs: list[str], cells: int = CELLS, epochs: int = EPOCHS, seed: int = 5) -> Field:
+        bits = max(8, (cells // max(1, len(set(langs)))).bit_length() - 1)
         field = cls(sorted(set(langs)), bits)
         if not texts:
             return field
@@ -203,38 +207,33 @@ def _step(value: np.ndarray, total: np.ndarray, k: int, grad: np.ndarray) -> Non
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """Texts and languages to learn from, about as many bytes of each language.
+    """Texts and languages to learn from: at most ``rows`` texts of ``most`` bytes in all.
 
-    Counts of languages give the share of each whose rows, by a hash of doc_id, may be picked: about three times what is
-    needed, so the rows that reach the driver are bounded.
+    Each language has an equal share of the bytes and is read in the order of a hash of doc_id as far as its share goes.
+    Texts larger than the share come last and cost it whole, so one is taken only where no other is, by pieces from all
+    over it. The first text of each language comes before the second of any, up to ``rows``. All is chosen in Spark: by
+    narrow rows, within slices of a language and then of what these leave, so that no task reads a whole language; only
+    what is chosen reaches the driver.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return [], []
-    spark, each = docs.sparkSession, max(1, rows // len(counts))
-    shares = spark.createDataFrame([(k, min(1.0, 3 * each / n)) for k, n in counts.items()], "lang string, __share double")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    picked = known.select("doc_id", "lang", F.octet_length("text").alias("__size"), place.alias("__place")).join(F.broadcast(shares), "lang").filter("__place < __share")
-    picked = picked.groupBy("doc_id", "lang", "__place").agg(F.min("__size").alias("__size")).collect()  # an id may be in many rows
-    used: dict[str, int] = defaultdict(int)
-    taken: dict[str, int] = defaultdict(int)
-    ids, share = {}, most // len(counts)
-    picked = [r for r in sorted(picked, key=lambda r: (r["__place"], r.doc_id)) if r["__size"]]
-    for row in picked:  # what does not fit is passed over
-        if taken[row.lang] < each and used[row.lang] + row["__size"] <= share:
-            used[row.lang] += row["__size"]
-            taken[row.lang] += 1
-            ids[row.doc_id, row.lang, row["__size"]] = share
-    for row in picked:  # where no text fits, the beginning of the first one is taken
-        if not taken[row.lang]:
-            taken[row.lang] = 1
-            ids[row.doc_id, row.lang, row["__size"]] = share // 4  # characters of at most 4 bytes
-    wanted = spark.createDataFrame([(*k, n) for k, n in ids.items()], "doc_id long, lang string, __size int, __most int")
-    texts = docs.select("doc_id", "text", "lang").withColumn("__size", F.octet_length("text"))
-    found = texts.join(F.broadcast(wanted), ["doc_id", "lang", "__size"]).groupBy("doc_id", "lang", "__most").agg(F.min("text").alias("text"))
-    found = found.select("doc_id", F.expr("substring(text, 1, __most)").alias("text"), "lang").collect()
-    found.sort(key=lambda r: (r.doc_id, r.text))
+    n = known.select("lang").distinct().count()
+    share = most // max(1, min(n, rows))
+    size, mark = F.octet_length("text"), F.xxhash64("text")
+    narrow = known.filter(size > 0).groupBy("lang", "doc_id").agg(F.min(F.struct(size.alias("size"), mark.alias("mark"))).alias("m"))  # an id may be in many rows
+    narrow = narrow.select("lang", "doc_id", "m.*", F.xxhash64("doc_id").alias("place"))
+    narrow = narrow.withColumn("large", F.col("size") > share)
+    order = ("large", "place", "doc_id")
+    first = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= rows)
+    slices = first(narrow.withColumn("slice", F.pmod("place", F.lit(SLICES))), "lang", "slice").drop("slice", "rank")
+    ranked = first(slices, "lang").withColumn("used", F.sum(F.least("size", F.lit(share))).over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = ranked.filter(F.col("used") <= share).orderBy("rank", *order).limit(rows).select("doc_id", "lang", "mark")
+    pieces_ = max(1, min(64, share // 256))
+    width = max(1, share // 4 // pieces_)  # a character has four bytes at most
+    step = F.floor(F.length("text") / pieces_)
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces_ - 1)), lambda i: F.substr("text", (i * step + 1).cast("int"), F.lit(width))), " ")
+    texts = known.select("doc_id", F.when(size > share, spread).otherwise(F.col("text")).alias("text"), "lang", mark.alias("mark"))
+    found = texts.join(F.broadcast(wanted), ["doc_id", "lang", "mark"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "text", "lang").collect()  # at most ``rows``
+    found.sort(key=lambda r: (r.doc_id, r.lang))
     return [r.text for r in found], [r.lang for r in found]
 
 

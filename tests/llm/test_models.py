@@ -203,6 +203,28 @@ def test_long_texts_do_not_end_the_sample(spark):
         assert sum(len(t.encode()) for t, x in zip(used, langs, strict=True) if x == lang) <= 2000
 
 
+def test_the_sample_of_languages_keeps_its_bounds(spark):
+    """Many languages, one that holds a third of all rows, repeated ids, and texts larger than a share."""
+    rows = [(i, f"text {i}", f"l{i % 400}") for i in range(4000) if not _held(i)] + [(i, f"hot {i}", "hot") for i in range(4000, 6000) if not _held(i)] * 2
+    rows += [(7001 + i, "é" * 5000, "long") for i in range(9) if not _held(7001 + i)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    for most_rows in (50, 300, 1000):
+        texts, langs = language_id.sample(docs, rows=most_rows, most=100_000)
+        assert len(texts) <= most_rows and sum(len(t.encode()) for t in texts) <= 100_000
+        assert len(set(langs)) == min(most_rows, 402)  # each language before a second row of any
+        assert language_id.sample(docs.repartition(3), rows=most_rows, most=100_000) == (texts, langs)
+    long = next(t for t, x in zip(texts, langs, strict=True) if x == "long")
+    assert set(long) <= {"é", " "} and len(long.encode()) <= 100_000 // 402
+
+
+def test_pieces_of_a_large_text_come_from_all_over_it(spark):
+    i = next(i for i in range(9) if not _held(i))
+    text = "".join(f"{n:04d} " for n in range(10000))
+    found, _ = language_id.sample(spark.createDataFrame([(i, text, "a")], "doc_id long, text string, lang string"), most=4000)
+    numbers = sorted(int(x) for x in found[0].split() if len(x) == 4)
+    assert len(found[0]) <= 4000 and numbers[0] < 300 and numbers[-1] > 9000 and len(numbers) > 100
+
+
 # --- languages -------------------------------------------------------------------------------------------------------
 
 STEMS = {"xa": ["tion", "ing", "the", "oun", "ly"], "xb": ["keit", "sch", "ung", "ber", "pf"], "xc": ["cao", "nhi", "que", "oso", "lla"]}
