@@ -19,7 +19,8 @@ Steps, all as tables:
    Buckets draw their centres independently, so a dense group is tied together in a round or two.
 5. Among nodes that are still apart from others of their bucket, all pairs that may be links are found by their rarest
    shingles (an exact filter), and verified too. Nodes for which no list of a shingle holds a partner of fitting size
-   leave before any pair is made. There is no cap anywhere.
+   leave before any pair is made. Long lists are held in groups that grow from round to round, and what is linked is
+   contracted in between, so that pairs within a component are not made. There is no cap anywhere.
 
 Documents without words (or with a null text) are linked with nothing. Rows with one doc_id are joined by their sets
 alone; a null doc_id names a component only if all its rows have one. Shingles are held to be equal, and sets too, if
@@ -40,7 +41,8 @@ from .common import LOWER, NOT_SPACE, BitMap, bit_map, carried, constants, flat,
 from .components import components
 
 LEFT, RIGHT = 12, 8
-PARITY = 512
+PARITY = 1024
+GROUP, GROWTH = 64, 4
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -163,10 +165,7 @@ def _centre_rounds(apart: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
         pairs = active.join(centres, "key").filter("label <> other")
         pairs = pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
         links = stored(_verified(_near_enough(pairs, sets, percent), sets, percent), "verified")
-        labels = active.select("node", "label").distinct()
-        for s in "ab":
-            links = links.join(labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")), s)
-        links = stored(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "merged")
+        links = _merged(links, active.select("node", "label").distinct())
         if links.isEmpty():
             break
         merged = components(links)
@@ -181,26 +180,34 @@ def _centre_rounds(apart: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     return (stored(_mixed(apart), "apart") if mergers else apart), mergers
 
 
+def _merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of components that ``links`` joins; ``labels`` (node, label) names the component of each node."""
+    for s in "ab":
+        links = links.join(labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")), s)
+    return stored(links.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "merged")
+
+
 def _with_partners(rows: DataFrame, percent: int) -> DataFrame:
     """The rows (shingle, node, label, size, left) whose list has several components and a partner of fitting size.
 
     With ``left`` of its shingles from this one on, a node can be linked to one of (100 + percent) * left / percent - size
     shingles at most. So a row whose node is larger than what any of its list can be linked to makes no pair. ``big`` is
-    the component with the most nodes in the list.
+    the component with the most nodes in the list, and ``outside`` the number of nodes outside of it.
     """
     most = F.max(F.floor((100 + percent) * F.col("left") / percent) - F.col("size")).alias("most")
     lists = rows.groupBy("shingle", "label").agg(most, F.count(F.lit(1)).alias("n"))
-    lists = lists.groupBy("shingle").agg(F.max("most").alias("most"), F.max(F.struct("n", "label")).alias("big"), F.count(F.lit(1)).alias("labels"))
-    lists = stored(lists.filter("labels > 1").select("shingle", "most", F.col("big.label").alias("big")), "lists")
-    return rows.drop("big").join(lists, "shingle").filter("size <= most").drop("most")
+    big = F.max(F.struct("n", "label")).alias("big")
+    lists = lists.groupBy("shingle").agg(F.max("most").alias("most"), big, F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+    lists = lists.filter("labels > 1").select("shingle", "most", F.col("big.label").alias("big"), (F.col("n") - F.col("big.n")).alias("outside"))
+    return rows.drop("big", "outside").join(stored(lists, "lists"), "shingle").filter("size <= most").drop("most")
 
 
-def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different components that may be links, by the rarest shingles of each.
+def _rare_rows(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each node that is apart: (shingle, node, label, size, left, parity, big, outside).
 
     In any order that holds for all shingles, from the first one on that both have there must be as many left in either
     set as both must have in common. A shingle of one node alone joins nothing, so nodes with enough of their own drop
-    out, as do those without a fitting partner, or whose parities show that too many shingles differ.
+    out, as do those without a fitting partner.
     """
     label = apart.select("node", "label").distinct()
     rows = sets.join(label, "node").select("node", "label", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
@@ -210,13 +217,58 @@ def _rare_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
     rows = rows.withColumn("own", F.col("size") - held).withColumn("left", F.col("size") - F.col("own") - rank + 1).drop("own", "often")
     rows = stored(_with_partners(rows.filter(100 * F.col("left") >= percent * F.col("size")), percent), "rare")
-    rows = stored(_with_partners(rows, percent).join(sets.select("node", "parity"), "node"), "rare")
-    # of two components one is not the list's largest: a list costs its nodes outside that one, times all of them
-    one, two = (x.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "size", "left", "parity"))) for s, x in (("a", rows.filter("label <> big")), ("b", rows)))
+    return stored(_with_partners(rows, percent).join(sets.select("node", "parity"), "node"), "rare")
+
+
+def _with_reach(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``reach``: the most that are outside in any list of any node of the list."""
+    far = rows.groupBy("node").agg(F.max("outside").alias("far"))
+    reach = rows.select("shingle", "node").join(far, "node").groupBy("shingle").agg(F.max("far").alias("reach"))
+    return rows.join(stored(reach, "lists"), "shingle")
+
+
+def _rare_pairs(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs of nodes of different components in one group of a list, but those whose parities show too many differences.
+
+    A list is cut into the least power of two of groups in which about ``most`` nodes at most are outside its largest
+    component, or as many as a longer list of one of its nodes needs. Nodes go by a hash of their own and of the round. So
+    the lists that two nodes share are cut alike, and have both in one group or none does: a round sees a share of all
+    pairs, not a share of the places of every pair. And as each round groups anew, the components that one round ties
+    together within its groups are tied to each other by the next.
+    """
+    groups = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("reach") / F.lit(most))))).cast("long")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("node", F.lit(most)), groups))
+    # of two components one is not the list's largest: a group costs its nodes outside that one, times all of them
+    columns = ("node", "label", "size", "left", "parity")
+    one, two = (x.select("shingle", "group", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s, x in (("a", rows.filter("label <> big")), ("b", rows)))
     may = F.col("label_a") != F.col("label_b")
     for s in "ab":  # if this shingle is the first that both have, enough must be left from it on
         may &= (100 + percent) * F.col(f"left_{s}") >= percent * (F.col("size_a") + F.col("size_b"))
-    return one.join(two, "shingle").filter(may & _may_link(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return one.join(two, ["shingle", "group"]).filter(may & _may_link(percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _rare_rounds(apart: DataFrame, sets: DataFrame, percent: int, known: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The mergers of labels, and the pairs verified, of each round over the lists of rare shingles.
+
+    ``known`` are pairs that need no verifying again. A list that is not cut is done with after its round. The others
+    come again with GROWTH times as many nodes in a group, after what was linked is contracted. So all pairs that may be
+    links are made in the end, but for those within one component: where links are many, most nodes are joined by a
+    share of them, and the lists end early.
+    """
+    mergers, made = [], []
+    rows = _with_reach(_rare_rows(apart, sets, percent))
+    while not rows.isEmpty():
+        pairs = stored(_rare_pairs(rows, most, percent).join(known, ["a", "b"], "left_anti"), "pairs")
+        made.append(pairs)
+        known = known.unionByName(pairs)
+        links = _merged(_verified(pairs, sets, percent), rows.select("node", "label").distinct())
+        rows = rows.filter(F.col("reach") > most).drop("reach")
+        if not links.isEmpty():
+            mergers.append(components(links))
+            rows = _relabelled(rows, mergers[-1])
+        rows = _with_reach(stored(_with_partners(stored(rows, "rare"), percent), "rare"))
+        most *= GROWTH
+    return mergers, made
 
 
 def _labelled(docs: DataFrame, k: int, percent: int, left: int = LEFT, right: int = RIGHT) -> tuple[DataFrame, DataFrame]:
@@ -255,14 +307,8 @@ def _labelled(docs: DataFrame, k: int, percent: int, left: int = LEFT, right: in
     apart = stored(_mixed(labelled), "apart")
     if not apart.isEmpty():
         apart, mergers = _centre_rounds(apart, sets, percent)
-        rest = stored(_rare_pairs(apart, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = _verified(rest, sets, percent)
-        of = apart.select("node", "label").distinct()
-        for s in "ab":
-            more = more.join(of.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")), s)
-        more = stored(more.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "merged")
-        if not more.isEmpty():
-            mergers.append(components(more))
+        if not apart.isEmpty():
+            mergers += _rare_rounds(apart, sets, percent, pairs, GROUP)[0]
         if mergers:
             labels = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
             for merged in mergers:
