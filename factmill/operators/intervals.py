@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.locations import contains
 
 EXECUTABLE = ("Function", "Method", "Constructor", "Destructor")
-BLOCK = 64
 
 
 def evidence_inside(evidence: DataFrame, entities: DataFrame) -> DataFrame:
@@ -19,22 +18,32 @@ def evidence_inside(evidence: DataFrame, entities: DataFrame) -> DataFrame:
     return evidence.join(held, "ref", "left").select(*evidence.columns, verdict.alias("verdict"))
 
 
-def innermost(places: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
+def innermost(places: DataFrame, spans: DataFrame) -> DataFrame:
     """``places`` (place, file, line) with ``owner``: the smallest span (id, file, start_line, end_line, type) around.
 
-    Executable spans come first; ties by start, then id; none gives null. Spans are cut to blocks of lines, so the join
-    is an equi-join on file and block and not a test of all pairs of a file; spans longer than 64 blocks are cut to
-    blocks of 64 times the size, and so on, so that none makes more than 65 rows.
+    Executable spans come first; ties by start, then id; none gives null. Each span is cut to the fewest blocks whose
+    sizes and places are powers of two and multiples of them, at most two of a size, and a block keeps only its best
+    span. A line is in one block of each size, so it is held against as many rows as there are sizes, however many spans
+    lie over one another.
     """
-    size = F.col("end_line") - F.col("start_line")
-    level = F.greatest(F.lit(0), F.ceil(F.log(64.0, F.greatest(size, F.lit(1)) / (64.0 * block)))).cast("int")
-    width = lambda k: (F.lit(block) * F.pow(F.lit(64), k)).cast("long")
-    cut = spans.withColumn("level", level)
-    cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / width(F.col("level"))), F.floor((F.greatest(F.col("end_line"), F.col("start_line") + 1) - 1) / width(F.col("level"))))))
-    asked = places.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("level")).withColumn("block", F.floor(F.col("line") / width(F.col("level"))))
-    found = asked.join(cut.select("file", "level", "block", "id", "start_line", "end_line", "type"), ["file", "level", "block"]).filter("line >= start_line AND line < end_line")
+    shifted = lambda x, k: F.call_function("shiftright", x, k)
+    start, end = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    held = spans.filter(start < end)
+    last = F.length(F.bin(end - start)) - 1  # the largest size that fits
+
+    def pieces(k):
+        low, high = shifted(start + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), shifted(end, k)
+        at = lambda test, block: F.when((low < high) & (test % 2 != 0), F.struct(k.alias("level"), block.alias("block")))
+        return F.array(at(low, low), at(high, high - 1))
+
     score = F.col("end_line") - F.col("start_line") - F.when(F.col("type").isin(*EXECUTABLE), 100000).otherwise(0)
-    best = found.groupBy("place").agg(F.min(F.struct(score.alias("score"), "start_line", "id")).alias("b")).select("place", F.col("b.id").alias("owner"))
+    blocks = held.select("file", F.explode(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), last), pieces)))).alias("b"), F.struct(score.alias("score"), "start_line", "id").alias("span"))
+    blocks = blocks.groupBy("file", "b.level", "b.block").agg(F.min("span").alias("span"))
+    sizes = held.agg(F.max(last).alias("last"))
+    asked = places.filter("line is not null").select("file", "line").distinct().join(F.broadcast(sizes), F.lit(True))  # one row
+    asked = asked.select("file", "line", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("level")).withColumn("block", shifted(F.col("line").cast("long"), F.col("level")))
+    lines = asked.join(blocks, ["file", "level", "block"]).groupBy("file", "line").agg(F.min("span").alias("span"))
+    best = places.join(lines, ["file", "line"]).groupBy("place").agg(F.min("span").alias("b")).select("place", F.col("b.id").alias("owner"))
     return places.join(best, "place", "left")
 
 
